@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,8 +144,6 @@ def fees_to_anchor(fees0: Column, fees1: Column, sqrt_word: Column, anchor_is_to
     The products need more than 256 bits, so this is an Arrow UDF over Python integers. Use it on
     aggregated rows only: one call per board row, never per swap. NULL price gives NULL.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def value(f0: pd.Series, f1: pd.Series, word: pd.Series, first: pd.Series) -> pd.Series:
         def one(a, b, w, is0):

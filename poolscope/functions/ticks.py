@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,8 +107,6 @@ def exact_position_amounts(
 
     The intermediate products pass 256 bits. Meant for position snapshots, one row per position.
     """
-    import pandas as pd
-
     @F.pandas_udf("amount0 string, amount1 string")
     def amounts(depth: pd.Series, lower: pd.Series, upper: pd.Series, word: pd.Series) -> pd.DataFrame:
         one = 1 << 96

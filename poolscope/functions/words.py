@@ -7,6 +7,7 @@ token amount; a wider word decodes to NULL here and keeps its digits in the ``*_
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +119,6 @@ def limb(w: Column, k: int) -> Column:
 
 def wide_total(sums: list[Column], negatives: Column) -> Column:
     """Decimal text of sum(limbs[k] * 2^(32k)) - negatives * 2^256, for one row per group."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def total(limbs: pd.Series, negative_rows: pd.Series) -> pd.Series:
         def one(parts, minus):

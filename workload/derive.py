@@ -54,7 +54,7 @@ def raw_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ELSE user_id % 24 END AS pool_id""",
         "CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS sgn",
         "CAST(round(value * 100) AS bigint) AS cents",
-        "1000 + event_id % 977 AS price_milli",
+        "CASE WHEN event_id % 53 = 0 THEN 0 ELSE 1000 + event_id % 977 END AS price_milli",
         """CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 500 WHEN 'signup' THEN 2500
                 WHEN 'error' THEN 980310 ELSE 10000 END AS event_fee""",
     )
@@ -148,7 +148,7 @@ rawswaps AS (
          THEN 24 + (user_id % 4) + 4 * ((block_number // 480000) % 6) ELSE user_id % 24 END AS pool_id,
     CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS sgn,
     CAST(round(value * 100) AS BIGINT) AS cents,
-    1000 + event_id % 977 AS price_milli,
+    CASE WHEN event_id % 53 = 0 THEN 0 ELSE 1000 + event_id % 977 END AS price_milli,
     CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 500 WHEN 'signup' THEN 2500
          WHEN 'error' THEN 980310 ELSE 10000 END AS event_fee
   FROM ev),
@@ -223,8 +223,9 @@ agg AS (
 SQL_SAMPLES = """
 samples AS (
   SELECT *, last_block // 120000 AS bucket,
-    CASE WHEN is0 THEN 1.0 / ((last_sqrt / pow(2, 96)) * (last_sqrt / pow(2, 96)))
-         ELSE (last_sqrt / pow(2, 96)) * (last_sqrt / pow(2, 96)) END AS price
+    CASE WHEN last_sqrt > 0 THEN
+      CASE WHEN is0 THEN 1.0 / ((last_sqrt / pow(2, 96)) * (last_sqrt / pow(2, 96)))
+           ELSE (last_sqrt / pow(2, 96)) * (last_sqrt / pow(2, 96)) END END AS price
   FROM agg)
 """
 
@@ -238,9 +239,93 @@ seen AS (
 folded AS (
   SELECT pool, window_id, list_reduce(xs, lambda a, x:
     CASE WHEN x.b = a.b THEN {'b': a.b, 'v': a.v + x.v, 'n': a.n + 60000, 'h': a.h}
+         WHEN a.b < 0 THEN {'b': x.b, 'v': x.v, 'n': CAST(60000 AS BIGINT), 'h': a.h}
          WHEN x.b > a.b THEN {'b': x.b, 'v': x.v, 'n': CAST(60000 AS BIGINT), 'h': list_concat(list_concat(a.h, [{'v': a.v, 'n': a.n}]),
               [{'v': CAST(0 AS HUGEINT), 'n': CAST(120000 AS BIGINT)} for i in range(greatest(0, least(x.b - a.b - 1, 23 - len(a.h))))])[-24:]}
          ELSE a END,
     {'b': CAST(-1 AS BIGINT), 'v': CAST(0 AS HUGEINT), 'n': CAST(0 AS BIGINT), 'h': CAST([] AS STRUCT(v HUGEINT, n BIGINT)[])}) AS st
   FROM seen)
 """
+
+# the candle closes as a sequential fold per sample, unpriced samples skipped
+SQL_CANDLES = """
+priced AS (
+  SELECT pool, window_id,
+    list({'b': bucket, 'p': price}) FILTER (WHERE price IS NOT NULL) OVER (PARTITION BY pool ORDER BY window_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS xs
+  FROM samples),
+closes AS (
+  SELECT pool, window_id, list_reduce(xs, lambda a, x:
+    CASE WHEN x.b = a.b THEN {'b': a.b, 'c': x.p, 'h': a.h}
+         WHEN x.b > a.b AND a.b >= 0 THEN {'b': x.b, 'c': x.p, 'h': list_concat(list_concat(a.h, [a.c]),
+              [a.c for i in range(greatest(0, least(x.b - a.b - 1, 29 - len(a.h))))])[-30:]}
+         WHEN a.b < 0 THEN {'b': x.b, 'c': x.p, 'h': a.h}
+         ELSE a END,
+    {'b': CAST(-1 AS BIGINT), 'c': CAST(0 AS DOUBLE), 'h': CAST([] AS DOUBLE[])}) AS st
+  FROM priced WHERE xs IS NOT NULL),
+series AS (SELECT pool, window_id, list_concat(st.h, [st.c]) AS s FROM closes),
+deltas AS (SELECT pool, window_id, s, [s[i + 1] - s[i] for i in range(1, len(s))] AS d FROM series),
+rsi_avg AS (
+  SELECT pool, window_id, s, CASE WHEN len(s) >= 15 THEN list_reduce(d[15:], lambda a, x:
+      {'g': (a.g * 13 + greatest(x, 0)) / 14, 'l': (a.l * 13 + greatest(-x, 0)) / 14},
+      {'g': list_sum([greatest(x, 0) for x in d[:14]]) / 14, 'l': list_sum([greatest(-x, 0) for x in d[:14]]) / 14}) END AS av
+  FROM deltas),
+rsi AS (
+  SELECT pool, window_id, s, av, CASE WHEN len(s) < 15 THEN NULL WHEN list_min(s) = list_max(s) THEN 50
+      WHEN av.l = 0 THEN 100 ELSE CAST(floor(100 - 100 / (1 + av.g / av.l) + 0.5) AS INTEGER) END AS rsi
+  FROM rsi_avg)
+"""
+
+# dollar volume, spike and RSI of each sample
+SQL_SCORED = """
+scored AS (
+  SELECT s.*, CASE WHEN anchor_kind = 'usd' THEN volume ELSE volume * 612500000 // 1000000 END AS volume_usd,
+    CASE WHEN len(f.st.h) >= 3 THEN CAST(list_sum([x.v for x in f.st.h]) AS DOUBLE) / list_sum([x.n for x in f.st.h]) END AS baseline,
+    r.rsi, CASE WHEN list_min(r.s) < list_max(r.s) AND r.rsi < 30 THEN 'oversold'
+                WHEN list_min(r.s) < list_max(r.s) AND r.rsi > 70 THEN 'overbought' END AS rsi_label
+  FROM samples s JOIN folded f USING (pool, window_id) LEFT JOIN rsi r USING (pool, window_id)),
+spiked AS (
+  SELECT *, CASE WHEN volume_usd >= 50000000000000000000 AND baseline IS NOT NULL AND volume > 0
+                 THEN CASE WHEN baseline <= 0 THEN 999.0 ELSE least(CAST(volume AS DOUBLE) / 60000 / baseline, 999.0) END END AS spike
+  FROM scored)
+"""
+
+
+def sql_selected(order: str, min_usd: float = 400000.0, per_group: int = 3, max_lookups: int = 5) -> str:
+    """The budgeted walk as running counts over a full ranking (a different form than ours)."""
+    return f"""
+valued AS (
+  SELECT *, CASE WHEN t <> 5 AND price > 0 THEN
+      (CASE WHEN t = 3 THEN (t + 1) * 1e9 / pow(10.0, 6) ELSE (t + 1) * 1e21 / pow(10.0, 18) END)
+      * (price * (CASE WHEN t = 3 THEN pow(10.0, -12) ELSE 1.0 END))
+      * (CASE WHEN anchor_kind = 'usd' THEN 1.0 ELSE 612.5 END) END AS fdv
+  FROM spiked WHERE t <> 7 AND board IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY window_id, board ORDER BY {order}) AS rk FROM valued),
+firsts AS (
+  SELECT *, first_value(fdv) OVER w AS cap, CAST(row_number() OVER w = 1 AS INTEGER) AS is_first
+  FROM ranked WINDOW w AS (PARTITION BY window_id, board, t ORDER BY rk)),
+counted AS (
+  SELECT *, sum(is_first) OVER (PARTITION BY window_id, board ORDER BY rk) AS k,
+    CASE WHEN cap >= {min_usd} THEN 'main' ELSE 'danger' END AS variant FROM firsts),
+walked AS (
+  SELECT *, row_number() OVER (PARTITION BY window_id, board, variant ORDER BY rk) AS gp
+  FROM counted WHERE k <= {max_lookups}),
+filled AS (
+  SELECT window_id, board, CASE WHEN count(*) FILTER (WHERE gp = {per_group}) = 2
+      THEN max(rk) FILTER (WHERE gp = {per_group}) END AS full_rank
+  FROM walked GROUP BY window_id, board),
+totals AS (
+  SELECT w.window_id, w.board, any_value(f.full_rank) AS full_rank,
+    max(k) FILTER (WHERE f.full_rank IS NULL OR rk <= f.full_rank) AS lookups
+  FROM walked w JOIN filled f USING (window_id, board) GROUP BY w.window_id, w.board),
+cut AS (SELECT window_id, board, max(k) > {max_lookups} AS cut FROM counted GROUP BY window_id, board),
+selected AS (
+  SELECT w.*, t.lookups AS n_lookups, t.full_rank IS NULL AND c.cut AS capped
+  FROM walked w JOIN totals t USING (window_id, board) JOIN cut c USING (window_id, board) WHERE gp <= {per_group})
+"""
+
+
+ORDER_SWAPS = "swaps DESC, volume_usd DESC NULLS LAST, volume DESC, first_seq"
+ORDER_SPIKE = (
+    "(spike IS NULL), spike DESC, CASE WHEN spike IS NULL THEN volume_usd END DESC NULLS LAST, volume DESC, first_seq"
+)

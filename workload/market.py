@@ -45,3 +45,57 @@ def cl_agg(spark, sf):
     return rows.select(
         "window_id", "pool", "swaps", "traders", *text("volume_anchor", "fees_anchor"), "last_fee_pips", "last_block"
     )
+
+
+def tables(spark, venue: str = "v3") -> P.MarketTables:
+    tokens = d.tokens(spark)
+    return P.MarketTables(
+        pools=d.pools(spark, venue),
+        tokens=tokens,
+        denied=d.denied(spark),
+        rate=d.RATE,
+        symbols=tokens.select("token", "symbol"),
+        audits=d.audits(spark),
+    )
+
+
+_BOARD_OUT = """
+  CAST(window_id * 60000 AS BIGINT) AS from_block, CAST(window_id * 60000 + 59999 AS BIGINT) AS to_block, board, variant,
+  CAST(gp AS INTEGER) AS group_pos, pool, token,
+  CASE WHEN t % 3 = 0 OR t = 5 THEN substr(token, 1, 8) ELSE 'TK' || t END AS symbol,
+  CAST(volume_usd AS VARCHAR) AS volume_usd, swaps, traders,
+  CAST(CASE WHEN anchor_kind = 'usd' THEN fees ELSE fees * 612500000 // 1000000 END AS VARCHAR) AS fees_usd,
+  CASE WHEN t % 4 <> 1 THEN t % 4 <> 2 END AS verified,
+  CASE WHEN t % 4 <> 1 THEN CASE WHEN t % 4 = 2 THEN 'unknown' WHEN t % 8 = 0 THEN 'high' ELSE 'clean' END END AS risk,
+  CASE fee_pips WHEN 100 THEN '0.01%' WHEN 500 THEN '0.05%' WHEN 2500 THEN '0.25%' WHEN 10000 THEN '1%' END AS fee_tier,
+  rsi, rsi_label, round(cap, 2) AS market_cap_usd, round(spike, 6) AS spike, CAST(n_lookups AS INTEGER) AS lookups, capped
+"""
+_V3_FEES = """
+fees_done AS (
+  SELECT *, CASE WHEN is0 THEN fees0 + CASE WHEN last_milli = 0 THEN 0 ELSE fees1 * 65536 // (last_milli * last_milli) END
+                 ELSE fees1 + fees0 * (last_milli * last_milli) // 65536 END AS fees FROM selected)
+"""
+BOARD_SQL = f"""WITH {d.SQL_AGG}, {d.SQL_SAMPLES}, {d.SQL_HISTORY}, {d.SQL_CANDLES}, {d.SQL_SCORED},
+{d.sql_selected(d.ORDER_SWAPS)}, {_V3_FEES} SELECT window_id, {_BOARD_OUT} FROM fees_done"""
+CL_BOARD_SQL = f"""WITH {d.SQL_CL_AGG}, {d.SQL_SAMPLES}, {d.SQL_HISTORY}, {d.SQL_CANDLES}, {d.SQL_SCORED},
+{d.sql_selected(d.ORDER_SPIKE)}, fees_done AS (SELECT *, fees_anchor AS fees FROM selected)
+SELECT window_id, {_BOARD_OUT} FROM fees_done"""
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Board rows in comparable form: wide amounts as text, doubles rounded."""
+    return rows.select(
+        "window_id", "from_block", "to_block", "board", "variant", "group_pos", "pool", "token", "symbol",
+        *text("volume_usd"), "swaps", "traders", *text("fees_usd"), "verified", "risk", "fee_tier", "rsi", "rsi_label",
+        F.round("market_cap_usd", 2).alias("market_cap_usd"), F.round("spike", 6).alias("spike"), "lookups", "capped",
+    )
+
+
+@query("board_v3", BOARD_SQL)
+def board_v3(spark, sf):
+    return shown(P.board_rows(d.swaps(spark, sf), tables(spark), d.CFG))
+
+
+@query("board_cl", CL_BOARD_SQL)
+def board_cl(spark, sf):
+    return shown(P.board_rows(d.swaps(spark, sf, "cl"), tables(spark, "cl"), d.CFG, config.CL))
