@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.functions.money import leg_fee, mul_div, plausible_fee
+from poolscope.functions.money import dec, leg_fee, mul_div, plausible_fee
 from poolscope.functions.words import WIDE
 
 POOL_COLUMNS = ["token", "anchor", "anchor_kind", "anchor_is_token0"]
@@ -17,6 +17,57 @@ def distinct_traders(trader: Column, approx: bool) -> Column:
     return (F.approx_count_distinct(trader) if approx else F.count_distinct(trader)).alias("traders")
 
 
+# Amounts below 10^27 (a billion whole tokens) are added up as three BIGINT pieces of nine digits
+# each, which is several times faster than DECIMAL(38,0) arithmetic and cannot overflow before
+# 9 * 10^9 rows per group. The rare bigger amount takes the DECIMAL expression instead.
+_FAST = 10**27
+_E18, _E12, _E9, _E6 = 10**18, 10**12, 10**9, 10**6
+
+
+def split_amount(df: DataFrame, name: str) -> DataFrame:
+    """Add `_name_h` and `_name_l` with name = h * 10^18 + l, both NULL for the slow path."""
+    small = F.abs(F.col(name)) < dec(_FAST)
+    unit = f"CAST('{_E18}' AS DECIMAL(19,0))"
+    return df.withColumn(f"_{name}_h", F.when(small, F.expr(f"{name} div {unit}"))).withColumn(
+        f"_{name}_l", F.when(small, F.expr(f"{name} % {unit}").cast("bigint"))
+    )
+
+
+def _div(a: Column, unit: int) -> Column:
+    return F.call_function("div", a, F.lit(unit).cast("bigint"))
+
+
+def _volume_pieces(h: Column, low: Column) -> list[Column]:
+    a = F.abs(low)
+    return [F.abs(h), _div(a, _E9), a % _E9]
+
+
+def _fee_pieces(h: Column, low: Column, pips: Column, pays: Column) -> list[Column]:
+    """Pieces of trunc((h * 10^18 + l) * pips / 10^6) for a non-negative amount, pips <= 10^6."""
+    f = pips.cast("bigint")
+    top = h * f
+    rest = (top % _E6) * _E12 + _div(low, _E6) * f + _div((low % _E6) * f, _E6)
+    return [F.when(pays, x) for x in (_div(top, _E6), _div(rest, _E9), rest % _E9)]
+
+
+def _sums(name: str, pieces: list[Column], slow: Column) -> list[Column]:
+    fast = [F.sum(p).alias(f"_{name}{i}") for i, p in enumerate(pieces)]
+    return [*fast, F.sum(slow).alias(f"_{name}_slow")]
+
+
+def _total(df: DataFrame, name: str) -> DataFrame:
+    zero = F.lit(0).cast(WIDE)
+    parts = [F.coalesce(F.col(f"_{name}{i}"), F.lit(0)).cast("decimal(19,0)") for i in range(3)]
+    joined = parts[0] * dec(_E18) + parts[1] * dec(_E9) + parts[2]
+    value = (joined.cast(WIDE) + F.coalesce(F.col(f"_{name}_slow"), zero)).cast(WIDE)
+    return df.withColumn(name, value).drop(*[f"_{name}{i}" for i in range(3)], f"_{name}_slow")
+
+
+def _anchor(suffix: str) -> Column:
+    first, second = F.col(f"_amount0{suffix}"), F.col(f"_amount1{suffix}")
+    return F.when(F.col("anchor_is_token0"), first).otherwise(second)
+
+
 def _anchor_leg() -> Column:
     return F.when(F.col("anchor_is_token0"), F.col("amount0")).otherwise(F.col("amount1"))
 
@@ -34,6 +85,11 @@ def _common(approx: bool, trader: str) -> list[Column]:
     ]
 
 
+def _staged(swaps: DataFrame) -> DataFrame:
+    split = split_amount(split_amount(swaps, "amount0"), "amount1")
+    return split.withColumn("_h", _anchor("_h")).withColumn("_l", _anchor("_l"))
+
+
 def aggregate_v3(swaps: DataFrame, keys: list[str] | None = None, approx: bool = False) -> DataFrame:
     """One row per (window, pool): anchor volume, swaps, distinct recipients, fees per leg, last price.
 
@@ -43,15 +99,19 @@ def aggregate_v3(swaps: DataFrame, keys: list[str] | None = None, approx: bool =
     """
     keys = keys or ["window_id", "pool"]
     pips = F.col("fee_pips")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast(WIDE))
+    h, low = F.col("_h"), F.col("_l")
+    wanted = _sums("volume_anchor", _volume_pieces(h, low), F.when(h.isNull(), F.abs(_anchor_leg())))
+    for leg in ("0", "1"):
+        lh, ll, amount = F.col(f"_amount{leg}_h"), F.col(f"_amount{leg}_l"), F.col(f"amount{leg}")
+        quick = lh.isNotNull() & (pips <= _E6)
+        pays = quick & ((lh > 0) | (ll > 0))
+        wanted += _sums(f"fees{leg}", _fee_pieces(lh, ll, pips, pays), F.when(~quick, leg_fee(amount, pips)))
     with_word = "sqrt_price_word" in swaps.columns
-    out = swaps.groupBy(*keys, *POOL_COLUMNS, "fee_pips").agg(
-        total(F.abs(_anchor_leg())).alias("volume_anchor"),
-        total(leg_fee(F.col("amount0"), pips)).alias("fees0"),
-        total(leg_fee(F.col("amount1"), pips)).alias("fees1"),
-        *_common(approx, "trader"),
-        *(_last_word_limbs() if with_word else []),
+    out = _staged(swaps).groupBy(*keys, *POOL_COLUMNS, "fee_pips").agg(
+        *wanted, *_common(approx, "trader"), *(_last_word_limbs() if with_word else [])
     )
+    for name in ("volume_anchor", "fees0", "fees1"):
+        out = _total(out, name)
     return _join_word(out) if with_word else out
 
 
@@ -65,13 +125,16 @@ def aggregate_cl(
     keys = keys or ["window_id", "pool"]
     fee, leg = F.col("event_fee"), F.abs(_anchor_leg())
     good = plausible_fee(fee, max_fee_pips)
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast(WIDE))
-    return swaps.groupBy(*keys, *POOL_COLUMNS).agg(
-        total(leg).alias("volume_anchor"),
-        total(F.when(good, mul_div(leg, fee, 1_000_000))).alias("fees_anchor"),
+    h, low = F.col("_h"), F.col("_l")
+    quick = h.isNotNull() & (fee <= _E6)
+    fees = _fee_pieces(F.abs(h), F.abs(low), fee, good & quick)
+    out = _staged(swaps).groupBy(*keys, *POOL_COLUMNS).agg(
+        *_sums("volume_anchor", _volume_pieces(h, low), F.when(h.isNull(), leg)),
+        *_sums("fees_anchor", fees, F.when(good & ~quick, mul_div(leg, fee, _E6))),
         F.max_by(F.when(good, fee), F.when(good, F.col("seq"))).alias("last_fee_pips"),
         *_common(approx, "trader"),
     )
+    return _total(_total(out, "volume_anchor"), "fees_anchor")
 
 
 def _last_word_limbs() -> list[Column]:

@@ -24,6 +24,7 @@ CFG = config.BoardConfig(
     rows_per_group=3,
     min_market_cap_usd=400_000.0,
     max_lookups=5,
+    spike_floor_usd18=5 * 10**17,
 )
 
 
@@ -71,8 +72,8 @@ def swaps(spark: SparkSession, sf_dir: str, venue: str = "v3") -> DataFrame:
         f"'{venue}' AS venue",
         f"{pool} AS pool",
         "concat('0x7a', lpad(CAST(user_id AS string), 38, '0')) AS trader",
-        "CAST(sgn * (CAST(cents AS decimal(20,0)) * 10000000000000000 + log_index % 1009) AS decimal(38,0)) AS amount0",
-        "CAST(-sgn * (CAST(cents AS decimal(20,0)) * 7000000000000000 + log_index % 1013) AS decimal(38,0)) AS amount1",
+        "CAST(sgn * (cents * 100000000000000 + log_index % 1009) AS decimal(38,0)) AS amount0",
+        "CAST(-sgn * (cents * 70000000000000 + log_index % 1013) AS decimal(38,0)) AS amount1",
         f"CAST(price_milli AS double) * {Q88}D AS sqrt_price",
         "lpad(concat(lower(hex(price_milli)), repeat('0', 22)), 64, '0') AS sqrt_price_word",
         "CAST(event_fee AS bigint) AS event_fee" if venue == "cl" else "CAST(NULL AS bigint) AS event_fee",
@@ -157,8 +158,8 @@ swaps AS (
     '0xb0' || lpad(CAST(pool_id AS VARCHAR), 38, '0') AS pool,
     '0x' || lpad(CAST(pool_id AS VARCHAR), 64, '0') AS cl_pool,
     '0x7a' || lpad(CAST(user_id AS VARCHAR), 38, '0') AS trader,
-    sgn * (CAST(cents AS HUGEINT) * 10000000000000000 + seq % 1009) AS amount0,
-    -sgn * (CAST(cents AS HUGEINT) * 7000000000000000 + seq % 1013) AS amount1,
+    sgn * (CAST(cents AS HUGEINT) * 100000000000000 + seq % 1009) AS amount0,
+    -sgn * (CAST(cents AS HUGEINT) * 70000000000000 + seq % 1013) AS amount1,
     price_milli, CAST(price_milli AS DOUBLE) * 309485009821345068724781056.0::DOUBLE AS sqrt_price, event_fee
   FROM rawswaps)
 """
@@ -285,7 +286,7 @@ scored AS (
                 WHEN list_min(r.s) < list_max(r.s) AND r.rsi > 70 THEN 'overbought' END AS rsi_label
   FROM samples s JOIN folded f USING (pool, window_id) LEFT JOIN rsi r USING (pool, window_id)),
 spiked AS (
-  SELECT *, CASE WHEN volume_usd >= 50000000000000000000 AND baseline IS NOT NULL AND volume > 0
+  SELECT *, CASE WHEN volume_usd >= 500000000000000000 AND baseline IS NOT NULL AND volume > 0
                  THEN CASE WHEN baseline <= 0 THEN 999.0 ELSE least(CAST(volume AS DOUBLE) / 60000 / baseline, 999.0) END END AS spike
   FROM scored)
 """
