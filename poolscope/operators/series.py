@@ -75,11 +75,11 @@ def _positions(rows: DataFrame, keep: int, live: Column) -> DataFrame:
     order = Window.partitionBy("pool").orderBy("window_id", "bucket")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("pool")
     usable = F.when(live, F.col("bucket"))
     first = F.when(live, F.coalesce(F.col("first_bucket"), F.col("bucket"))) if carried else usable
     staged = rows.withColumn("_bucket", F.max(usable).over(so_far)).withColumn("_prior", F.max(usable).over(before))
-    staged = staged.withColumn("_first", F.min(first).over(whole))
+    # In arrival order, not the minimum: a late sample may be older than the pool's first bucket.
+    staged = staged.withColumn("_first", F.first(first, ignorenulls=True).over(so_far))
     staged = staged.withColumn("_live", F.coalesce(live & (F.col("bucket") == F.col("_bucket")), F.lit(False)))
     staged = staged.withColumn("_opens", F.col("_live") & F.coalesce(F.col("bucket") > F.col("_prior"), F.lit(True)))
     held = F.least(F.lit(keep), F.col("_prior") - F.col("_first"))

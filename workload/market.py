@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolscope import config
+from poolscope.functions import money as M
+from poolscope.functions.rsi import wilder_rsi
 from poolscope.operators import aggregate as A
+from poolscope.operators import board as B
+from poolscope.operators import rank as R
+from poolscope.operators import select as T
+from poolscope.operators import series as S
 from poolscope.operators.pools import attach_pools
 from poolscope.plans import market as P
 from workload import derive as d
@@ -99,3 +105,363 @@ def board_v3(spark, sf):
 @query("board_cl", CL_BOARD_SQL)
 def board_cl(spark, sf):
     return shown(P.board_rows(d.swaps(spark, sf, "cl"), tables(spark, "cl"), d.CFG, config.CL))
+
+
+# --- aggregates over line items: pool = part, trader = supplier, order-insensitive figures only ---
+
+
+@query(
+    "lineitem_agg",
+    """WITH s AS (SELECT l_partkey AS pool, l_suppkey AS trader, l_partkey % 4 AS f,
+        CAST(round(l_extendedprice * 100) AS HUGEINT) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * 10000000000000000 AS amt FROM lineitem)
+    SELECT pool, CAST(sum(abs(amt)) AS VARCHAR) AS volume_anchor, count(*) AS swaps, count(DISTINCT trader) AS traders,
+      CAST(sum(CASE WHEN amt > 0 THEN amt * CASE f WHEN 0 THEN 100 WHEN 1 THEN 500 WHEN 2 THEN 2500 ELSE 10000 END // 1000000 ELSE 0 END) AS VARCHAR) AS fees0
+    FROM s GROUP BY pool""",
+)
+def lineitem_agg(spark, sf):
+    """The per-pool aggregate over many pools: one per part, with its fee tier joined from the part table."""
+    items = d.table(spark, sf, "lineitem").selectExpr(
+        "l_partkey AS pool",
+        "l_suppkey AS trader",
+        """CAST(CAST(round(l_extendedprice * 100) AS decimal(18,0)) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END
+             * 10000000000000000 AS decimal(38,0)) AS amount0""",
+        "CAST(0 AS decimal(38,0)) AS amount1",
+        "CAST(0 AS double) AS sqrt_price",
+        "CAST(0 AS bigint) AS block_number",
+        "xxhash64(l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_extendedprice) AS seq",
+    )
+    dim = d.table(spark, sf, "part").selectExpr(
+        "p_partkey AS pool", "p_name AS token", "'usdt' AS anchor", "'usd' AS anchor_kind", "true AS anchor_is_token0",
+        "element_at(array(100, 500, 2500, 10000), CAST(p_partkey % 4 + 1 AS int)) AS fee_pips",
+    )
+    rows = A.aggregate_v3(attach_pools(items, dim), keys=["pool"])
+    return rows.select("pool", *text("volume_anchor"), "swaps", "traders", *text("fees0"))
+
+
+# --- series ---
+
+
+def samples(spark, sf) -> DataFrame:
+    return P.pool_samples(d.swaps(spark, sf), d.pools(spark), d.CFG)
+
+
+_BASE = f"WITH {d.SQL_AGG}, {d.SQL_SAMPLES}"
+
+
+@query(
+    "bucket_volume",
+    f"""{_BASE} SELECT pool, bucket, CAST(sum(volume) AS VARCHAR) AS volume, CAST(count(*) * 60000 AS BIGINT) AS blocks,
+      count(*) AS samples FROM samples GROUP BY pool, bucket""",
+)
+def bucket_volume(spark, sf):
+    rows = S.bucket_volume(samples(spark, sf))
+    return rows.select("pool", "bucket", *text("volume"), "blocks", "samples")
+
+
+def shuffled_samples(spark, sf) -> DataFrame:
+    """Samples whose bucket sometimes falls back by two, as after a reorganisation."""
+    back = F.expr("CASE WHEN (window_id + pool_no) % 7 = 0 THEN 2 ELSE 0 END")
+    number = F.substring("pool", 5, 38).cast("bigint").alias("pool_no")
+    rows = samples(spark, sf).select("*", number)
+    return rows.withColumn("bucket", F.greatest(F.col("bucket") - back, F.lit(0))).drop("pool_no")
+
+
+_SHUFFLED = """shuffled AS (SELECT * REPLACE (greatest(bucket - CASE WHEN (window_id + pool_id) % 7 = 0 THEN 2 ELSE 0 END, 0) AS bucket) FROM samples)"""
+
+
+@query(
+    "late_drop",
+    f"""{_BASE}, {_SHUFFLED} SELECT pool, window_id, bucket, CAST(volume AS VARCHAR) AS volume_anchor FROM shuffled a
+    WHERE NOT EXISTS (SELECT 1 FROM shuffled b WHERE b.pool = a.pool AND b.window_id < a.window_id AND b.bucket > a.bucket)""",
+)
+def late_drop(spark, sf):
+    rows = S.late_drop(shuffled_samples(spark, sf))
+    return rows.select("pool", "window_id", "bucket", *text("volume_anchor"))
+
+
+@query(
+    "candles",
+    f"""{_BASE}, {_SHUFFLED}, ok AS (SELECT * FROM shuffled WHERE price IS NOT NULL),
+    kept AS (SELECT *, max(bucket) OVER (PARTITION BY pool ORDER BY window_id) AS top FROM ok)
+    SELECT pool, bucket, round(arg_max(price, window_id), 9) AS close, max(window_id) AS last_window
+    FROM kept WHERE bucket = top GROUP BY pool, bucket""",
+)
+def candles(spark, sf):
+    rows = S.candles(shuffled_samples(spark, sf))
+    return rows.select("pool", "bucket", F.round("close", 9).alias("close"), "last_window")
+
+
+@query(
+    "candle_series",
+    f"""{_BASE}, {d.SQL_CANDLES}
+    SELECT pool, window_id, len(s) AS points, round(s[1], 9) AS oldest, round(s[-1], 9) AS newest, round(list_sum(s), 6) AS total
+    FROM series""",
+)
+def candle_series(spark, sf):
+    rows = S.candle_series(samples(spark, sf)).filter(F.col("series").isNotNull())
+    total = F.aggregate("series", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(
+        "pool",
+        "window_id",
+        F.size("series").cast("bigint").alias("points"),
+        F.round(F.col("series")[0], 9).alias("oldest"),
+        F.round(F.element_at("series", -1), 9).alias("newest"),
+        F.round(total, 6).alias("total"),
+    )
+
+
+_HISTORY_OUT = """CAST(len(st.h) AS BIGINT) AS history_len,
+    CAST(coalesce(list_sum([x.v for x in st.h]), 0) AS VARCHAR) AS history_volume,
+    CAST(coalesce(list_sum([x.n for x in st.h]), 0) AS BIGINT) AS history_blocks"""
+
+
+@query(
+    "volume_fold",
+    f"""{_BASE.replace(d.SQL_SAMPLES, d.SQL_SAMPLES.replace("samples AS", "samples0 AS"))},
+    samples AS (SELECT * REPLACE (greatest(bucket - CASE WHEN (window_id + pool_id) % 7 = 0 THEN 2 ELSE 0 END, 0) AS bucket) FROM samples0),
+    {d.SQL_HISTORY} SELECT pool, window_id, {_HISTORY_OUT} FROM folded""",
+)
+def volume_fold(spark, sf):
+    """Retained history at each sample, late samples included; the SQL folds sample by sample."""
+    rows = S.volume_history(shuffled_samples(spark, sf), d.BUCKET_BLOCKS)
+    return rows.select("pool", "window_id", "history_len", *text("history_volume"), "history_blocks")
+
+
+@query(
+    "baseline",
+    f"""{_BASE}, buckets AS (SELECT pool, bucket, sum(volume) AS volume, CAST(count(*) * 60000 AS BIGINT) AS blocks FROM samples GROUP BY pool, bucket),
+    firsts AS (SELECT pool, min(bucket) AS b0 FROM buckets GROUP BY pool),
+    grid AS (SELECT b.pool, b.bucket, least(24, b.bucket - b0) AS n, b.bucket - i AS past
+             FROM buckets b JOIN firsts USING (pool), (SELECT unnest(range(1, 25)) AS i) WHERE b.bucket - i >= b0)
+    SELECT b.pool, b.bucket, CAST(least(24, b.bucket - f.b0) AS BIGINT) AS history_len,
+      CAST(coalesce(sum(p.volume), 0) AS VARCHAR) AS history_volume,
+      CAST(coalesce(sum(CASE WHEN g.past IS NOT NULL THEN coalesce(p.blocks, 120000) END), 0) AS BIGINT) AS history_blocks
+    FROM buckets b JOIN firsts f USING (pool) LEFT JOIN grid g ON g.pool = b.pool AND g.bucket = b.bucket
+      LEFT JOIN buckets p ON p.pool = b.pool AND p.bucket = g.past
+    GROUP BY b.pool, b.bucket, f.b0""",
+)
+def baseline(spark, sf):
+    """Calendar form of the history; the SQL lays out every bucket of the past 24 one by one."""
+    rows = S.baseline_sliding(S.bucket_volume(samples(spark, sf)), d.BUCKET_BLOCKS)
+    return rows.select("pool", "bucket", "history_len", *text("history_volume"), "history_blocks")
+
+
+@query(
+    "keep_recent",
+    f"""{_BASE}, last_seen AS (SELECT pool, max(window_id) AS seen FROM samples GROUP BY pool),
+    newest AS (SELECT pool FROM last_seen ORDER BY seen DESC, pool LIMIT 20)
+    SELECT pool, count(*) AS samples FROM samples WHERE pool IN (SELECT pool FROM newest) GROUP BY pool""",
+)
+def keep_recent(spark, sf):
+    return S.keep_recent(samples(spark, sf), 20).groupBy("pool").agg(F.count(F.lit(1)).alias("samples"))
+
+
+# --- RSI over order totals: one bounded price array per customer ---
+
+
+def price_series(spark, sf) -> DataFrame:
+    """The latest 31 order totals of each customer, oldest first."""
+    orders = d.table(spark, sf, "orders")
+    newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    kept = orders.withColumn("n", F.row_number().over(newest)).filter("n <= 31")
+    rows = kept.groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("o_totalprice").alias("p")))).alias("e")
+    )
+    return rows.select("o_custkey", F.transform("e", lambda x: x["p"]).alias("series"))
+
+
+_SQL_SERIES = """numbered AS (SELECT o_custkey, o_totalprice AS p,
+      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders),
+    series AS (SELECT o_custkey, list(p ORDER BY n DESC) AS s FROM numbered WHERE n <= 31 GROUP BY o_custkey),
+    deltas AS (SELECT o_custkey, s, [s[i + 1] - s[i] for i in range(1, len(s))] AS d FROM series),
+    averages AS (SELECT o_custkey, s, CASE WHEN len(s) >= 6 THEN list_reduce(d[6:], lambda a, x:
+        {'g': (a.g * 4 + greatest(x, 0)) / 5, 'l': (a.l * 4 + greatest(-x, 0)) / 5},
+        {'g': list_sum([greatest(x, 0) for x in d[:5]]) / 5, 'l': list_sum([greatest(-x, 0) for x in d[:5]]) / 5}) END AS av
+      FROM deltas)"""
+
+
+@query(
+    "rsi",
+    f"""WITH {_SQL_SERIES} SELECT o_custkey, CASE WHEN len(s) < 6 THEN 50.0::DOUBLE WHEN av.l = 0 THEN 100.0::DOUBLE
+      ELSE round(100 - 100 / (1 + av.g / av.l), 6) END AS rsi FROM averages""",
+)
+def rsi(spark, sf):
+    """Wilder RSI with a period of 5, so that short and long series both occur."""
+    rows = price_series(spark, sf)
+    return rows.select("o_custkey", F.round(wilder_rsi(F.col("series"), 5), 6).alias("rsi"))
+
+
+@query(
+    "rsi_tag",
+    f"""{_BASE}, {d.SQL_CANDLES}
+    SELECT s.pool, s.window_id, CASE WHEN volume >= 1000000000000000000 THEN rsi END AS rsi,
+      CASE WHEN volume >= 1000000000000000000 THEN CASE WHEN list_min(s) < list_max(s) AND rsi < 30 THEN 'oversold'
+           WHEN list_min(s) < list_max(s) AND rsi > 70 THEN 'overbought' END END AS rsi_label
+    FROM samples s LEFT JOIN rsi r ON r.pool = s.pool AND r.window_id = s.window_id""",
+)
+def rsi_tag(spark, sf):
+    rows = S.rsi_tag(S.candle_series(samples(spark, sf)), min_volume=10**18)
+    return rows.select("pool", "window_id", "rsi", "rsi_label")
+
+
+# --- scores, rankings, selection ---
+
+_SCORED = f"{_BASE}, {d.SQL_HISTORY}, {d.SQL_CANDLES}, {d.SQL_SCORED}"
+
+
+def scored(spark, sf) -> DataFrame:
+    return P.score_samples(samples(spark, sf), d.CFG, d.RATE)
+
+
+@query(
+    "spike",
+    f"""{_SCORED} SELECT pool, window_id, round(baseline / 1e12, 6) AS baseline_e12, round(spike, 6) AS spike FROM spiked""",
+)
+def spike(spark, sf):
+    return scored(spark, sf).select(
+        "pool", "window_id", F.round(F.col("baseline") / 1e12, 6).alias("baseline_e12"), F.round("spike", 6).alias("spike")
+    )
+
+
+@query(
+    "rank_volume",
+    f"""{_BASE} SELECT window_id, pool, CAST(row_number() OVER (PARTITION BY window_id ORDER BY volume DESC, first_seq) AS INTEGER) AS rank FROM samples""",
+)
+def rank_volume(spark, sf):
+    return R.rank(samples(spark, sf), "volume").select("window_id", "pool", "rank")
+
+
+def unknown_rate(rows: DataFrame) -> DataFrame:
+    """Dollar volumes with the native rate unknown in every third window."""
+    rate = F.when(F.col("window_id") % 3 > 0, F.lit(d.RATE))
+    return rows.withColumn("volume_usd", M.to_usd(F.col("volume_anchor"), F.col("anchor_kind"), rate))
+
+
+_USD_GAPS = "CASE WHEN anchor_kind = 'usd' THEN volume WHEN window_id % 3 > 0 THEN volume * 612500000 // 1000000 END"
+
+
+@query(
+    "rank_swaps",
+    f"""{_BASE}, priced_rows AS (SELECT *, {_USD_GAPS} AS volume_usd FROM samples)
+    SELECT window_id, pool, CAST(row_number() OVER (PARTITION BY window_id ORDER BY {d.ORDER_SWAPS}) AS INTEGER) AS rank FROM priced_rows""",
+)
+def rank_swaps(spark, sf):
+    return R.rank(unknown_rate(samples(spark, sf)), "swaps").select("window_id", "pool", "rank")
+
+
+@query(
+    "rank_spike",
+    f"""{_SCORED}, priced_rows AS (SELECT * REPLACE ({_USD_GAPS} AS volume_usd) FROM spiked)
+    SELECT window_id, pool, CAST(row_number() OVER (PARTITION BY window_id ORDER BY {d.ORDER_SPIKE}) AS INTEGER) AS rank FROM priced_rows""",
+)
+def rank_spike(spark, sf):
+    return R.rank(unknown_rate(scored(spark, sf)), "spike").select("window_id", "pool", "rank")
+
+
+def _wide_rows(spark, sf) -> DataFrame:
+    """Line items as ranked rows: order day is the window, line status the board, part the token."""
+    return d.table(spark, sf, "lineitem").groupBy("l_shipdate", "l_linestatus", "l_partkey", "l_suppkey").agg(
+        F.count(F.lit(1)).alias("swaps"), F.max("l_extendedprice").alias("price")
+    ).select(
+        F.col("l_shipdate").cast("date").cast("string").substr(1, 7).alias("window_id"),
+        F.col("l_linestatus").alias("board"),
+        F.col("l_partkey").alias("token"),
+        F.concat_ws("/", F.col("l_shipdate").cast("date").cast("string"), "l_suppkey").alias("pool"),
+        "swaps",
+        F.when(F.col("l_suppkey") % 9 > 0, F.col("price")).alias("fdv"),
+    )
+
+
+@query(
+    "mcap_select",
+    """WITH g AS (SELECT l_shipdate, l_linestatus, l_partkey, l_suppkey, count(*) AS swaps, max(l_extendedprice) AS price
+        FROM lineitem GROUP BY 1, 2, 3, 4),
+    ranked AS (SELECT strftime(l_shipdate, '%Y-%m') AS window_id, l_linestatus AS board, l_partkey AS token,
+        strftime(l_shipdate, '%Y-%m-%d') || '/' || l_suppkey AS pool, swaps, CASE WHEN l_suppkey % 9 > 0 THEN price END AS fdv,
+        row_number() OVER (PARTITION BY strftime(l_shipdate, '%Y-%m'), l_linestatus
+          ORDER BY swaps DESC, l_partkey % 20, l_partkey, strftime(l_shipdate, '%Y-%m-%d') || '/' || l_suppkey) AS rk FROM g),
+    firsts AS (SELECT *, first_value(fdv) OVER w AS cap, CAST(row_number() OVER w = 1 AS INTEGER) AS is_first
+      FROM ranked WINDOW w AS (PARTITION BY window_id, board, token ORDER BY rk)),
+    counted AS (SELECT *, sum(is_first) OVER (PARTITION BY window_id, board ORDER BY rk) AS k,
+      CASE WHEN cap >= 90000 THEN 'main' ELSE 'danger' END AS variant FROM firsts),
+    walked AS (SELECT *, row_number() OVER (PARTITION BY window_id, board, variant ORDER BY rk) AS gp FROM counted WHERE k <= 40),
+    filled AS (SELECT window_id, board, CASE WHEN count(*) FILTER (WHERE gp = 8) = 2 THEN max(rk) FILTER (WHERE gp = 8) END AS full_rank
+      FROM walked GROUP BY 1, 2),
+    totals AS (SELECT window_id, board, any_value(full_rank) AS fr, max(k) FILTER (WHERE full_rank IS NULL OR rk <= full_rank) AS n
+      FROM walked JOIN filled USING (window_id, board) GROUP BY 1, 2),
+    cut AS (SELECT window_id, board, max(k) > 40 AS cut FROM counted GROUP BY 1, 2)
+    SELECT window_id, board, variant, CAST(gp AS INTEGER) AS group_pos, token, pool, round(cap, 2) AS market_cap_usd,
+      CAST(n AS INTEGER) AS lookups, fr IS NULL AND cut AS capped
+    FROM walked JOIN totals USING (window_id, board) JOIN cut USING (window_id, board) WHERE gp <= 8""",
+)
+def mcap_select(spark, sf):
+    """The budgeted split at the published settings (8 rows per group, 40 lookups) over monthly boards."""
+    rows = _wide_rows(spark, sf)
+    order = F.struct((-F.col("swaps")).alias("a"), (F.col("token") % 20).alias("b"), F.col("token").alias("c"), F.col("pool").alias("d"))
+    chosen = T.select_by_fdv(rows, order, min_usd=90_000.0, per_group=8, max_lookups=40)
+    return chosen.select(
+        "window_id", "board", "variant", "group_pos", "token", "pool", F.round("market_cap_usd", 2).alias("market_cap_usd"),
+        "lookups", "capped",
+    )
+
+
+@query(
+    "run_metrics",
+    f"""{_SCORED}, {d.sql_selected(d.ORDER_SWAPS)},
+    chosen AS (SELECT window_id, board, max(n_lookups) AS lookups, max(CAST(capped AS INTEGER)) AS capped,
+        count(*) FILTER (WHERE variant = 'main') AS m, count(*) FILTER (WHERE variant = 'danger') AS dg FROM selected GROUP BY 1, 2),
+    boards AS (SELECT window_id, count(*) AS boards, sum(lookups) AS lookups, sum(capped) AS capped_boards, sum(m) AS main_rows, sum(dg) AS danger_rows
+        FROM chosen GROUP BY 1),
+    all_pools AS (SELECT window_id, count(*) AS pools, sum(swaps) AS swaps, count(*) FILTER (WHERE t = 7) AS dropped,
+        count(*) FILTER (WHERE t <> 7 AND board IS NULL) AS unrouted FROM spiked GROUP BY 1)
+    SELECT window_id, pools, CAST(swaps AS BIGINT) AS swaps, dropped, unrouted, coalesce(b.boards, 0) AS boards, CAST(coalesce(b.lookups, 0) AS BIGINT) AS lookups,
+      CAST(coalesce(capped_boards, 0) AS BIGINT) AS capped_boards, CAST(coalesce(main_rows, 0) AS BIGINT) AS main_rows,
+      CAST(coalesce(danger_rows, 0) AS BIGINT) AS danger_rows
+    FROM all_pools LEFT JOIN boards b USING (window_id)""",
+)
+def run_metrics(spark, sf):
+    rows = scored(spark, sf)
+    t = tables(spark)
+    listed = t.denied.select("token", F.lit(True).alias("_listed"))
+    marked = B.route_boards(rows, keep_unrouted=True).join(listed, "token", "left")
+    marked = marked.withColumn("denied", F.coalesce("_listed", F.lit(False)))
+    chosen = P.publish(rows, t, d.CFG)
+    return B.run_metrics(marked, chosen).select(
+        "window_id", "pools", "swaps", "dropped", "unrouted", "boards",
+        *[F.col(c).cast("bigint").alias(c) for c in ("lookups", "capped_boards", "main_rows", "danger_rows")],
+    )
+
+
+# --- reports ---
+
+
+@query("board_report")
+def board_report(spark, sf):
+    """Finished HTML messages of every board and window."""
+    rows = P.board_rows(d.swaps(spark, sf), tables(spark), d.CFG)
+    return B.board_report(rows, ["window_id", "board", "variant"])
+
+
+@query("board_report_plain")
+def board_report_plain(spark, sf):
+    rows = P.board_rows(d.swaps(spark, sf, "cl"), tables(spark, "cl"), d.CFG, config.CL)
+    return B.board_report(rows, ["window_id", "board", "variant"], html=False)
+
+
+_UNITS = "(length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))"
+
+
+@query(
+    "fit_rows",
+    f"""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '🥇 ' ELSE '' END || text AS t FROM conversations),
+    n AS (SELECT conv_id, turn, {_UNITS} AS u, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM r),
+    s AS (SELECT *, sum(u) OVER (PARTITION BY conv_id ORDER BY turn) + (n - 1) * 2 + 30 AS total FROM n)
+    SELECT conv_id, turn, CAST(total AS BIGINT) AS message_units, n = 1 AND total > 1500 AS placeholder FROM s WHERE total <= 1500 OR n = 1""",
+)
+def fit_rows(spark, sf):
+    """Leading turns of each conversation that fit one message of 1,500 UTF-16 units."""
+    rows = d.table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "concat(CASE WHEN turn % 3 = 1 THEN '🥇 ' ELSE '' END, text) AS row_text"
+    )
+    fitted = B.fit_rows(rows, ["conv_id"], header_units=F.lit(30), position="turn", limit=1500)
+    return fitted.select("conv_id", "turn", "message_units", "placeholder")
