@@ -66,8 +66,20 @@ def strip_code(source: Column) -> Column:
     return strip_strings(strip_comments(source))
 
 
+# Rules are written for ASCII word boundaries and Unicode blanks. Java's own \\b depends on the JDK
+# (older ones count accented letters as word characters), so both are spelled out.
+_WORD = "[A-Za-z0-9_]"
+_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+BLANKS = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def portable(pattern: str) -> str:
+    """A rule pattern with \\b and \\s made independent of the regex engine's defaults."""
+    return "(?i)" + pattern.replace(r"\b", _BOUNDARY).replace(r"\s", f"[{BLANKS}]")
+
+
 def matched_flags(code: Column, rules: tuple[Rule, ...]) -> Column:
-    hits = [F.when(code.rlike("(?i)" + r.pattern), F.lit(r.flag)) for r in rules]
+    hits = [F.when(code.rlike(portable(r.pattern)), F.lit(r.flag)) for r in rules]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 

@@ -25,7 +25,7 @@ def scan_sources(
     staged = df.withColumn("_plain", S.strip_comments(F.col(source)))
     staged = staged.withColumn("_code", S.strip_strings(F.col("_plain")))
     flags = S.matched_flags(F.col("_code"), rules)
-    parseable = F.lit(True) if mark is None else F.coalesce(F.col("_plain").rlike("(?i)" + mark), F.lit(False))
+    parseable = F.lit(True) if mark is None else F.coalesce(F.col("_plain").rlike(S.portable(mark)), F.lit(False))
     staged = staged.withColumn("flags", F.when(parseable, flags).otherwise(F.array(F.lit("unparseable"))))
     level = F.when(parseable, S.risk_level(F.col("flags"), rules)).otherwise(F.lit("unknown"))
     return staged.withColumn("risk", level).drop("_plain", "_code")
@@ -36,7 +36,7 @@ def flatten_sources(raw: Column) -> Column:
 
     Accepts the plain and the double-braced form.
     """
-    trimmed = F.trim(raw, F.lit(" \t\r\n"))
+    trimmed = F.trim(raw, F.lit(S.BLANKS))
     inner = F.when(trimmed.startswith("{{"), F.substring(trimmed, F.lit(2), F.length(trimmed) - 2)).otherwise(trimmed)
     # A field type the schema does not expect, or broken JSON, gives NULL in permissive mode.
     parsed = F.from_json(inner, "sources map<string, struct<content: string>>")
