@@ -77,11 +77,17 @@ def _positions(rows: DataFrame, keep: int, live: Column) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     usable = F.when(live, F.col("bucket"))
     first = F.when(live, F.coalesce(F.col("first_bucket"), F.col("bucket"))) if carried else usable
-    staged = rows.withColumn("_bucket", F.max(usable).over(so_far)).withColumn("_prior", F.max(usable).over(before))
-    # In arrival order, not the minimum: a late sample may be older than the pool's first bucket.
-    staged = staged.withColumn("_first", F.first(first, ignorenulls=True).over(so_far))
-    staged = staged.withColumn("_live", F.coalesce(live & (F.col("bucket") == F.col("_bucket")), F.lit(False)))
-    staged = staged.withColumn("_opens", F.col("_live") & F.coalesce(F.col("bucket") > F.col("_prior"), F.lit(True)))
+    # _first is the first in arrival order, not the minimum: a late sample may be older than it.
+    staged = rows.withColumns(
+        {
+            "_bucket": F.max(usable).over(so_far),
+            "_prior": F.max(usable).over(before),
+            "_first": F.first(first, ignorenulls=True).over(so_far),
+        }
+    )
+    current = F.coalesce(live & (F.col("bucket") == F.col("_bucket")), F.lit(False))
+    opens = current & F.coalesce(F.col("bucket") > F.col("_prior"), F.lit(True))
+    staged = staged.withColumns({"_live": current, "_opens": opens})
     held = F.least(F.lit(keep), F.col("_prior") - F.col("_first"))
     gap = F.col("bucket") - F.col("_prior") - 1
     filler = F.least(gap, F.greatest(F.lit(0), F.lit(keep - 1) - held))
@@ -107,19 +113,23 @@ def volume_history(
     numbered = _positions(rows, keep, F.lit(True))
     recent = Window.partitionBy("pool").orderBy("_pos").rangeBetween(-keep, -1)
     live = F.col("_live")
-    counted = (
-        numbered.withColumn("_v", F.sum(F.when(live, F.col("volume_anchor"))).over(recent))
-        .withColumn("_b", F.sum(F.when(live, F.col("window_blocks"))).over(recent))
-        .withColumn("_n", F.count(F.when(F.col("_opens"), F.lit(1))).over(recent))
+    counted = numbered.withColumns(
+        {
+            "_v": F.sum(F.when(live, F.col("volume_anchor"))).over(recent),
+            "_b": F.sum(F.when(live, F.col("window_blocks"))).over(recent),
+            "_n": F.count(F.when(F.col("_opens"), F.lit(1))).over(recent),
+        }
     )
     length = F.least(F.lit(keep).cast("bigint"), F.col("_pos"))
-    out = (
-        counted.withColumn("history_len", length)
-        .withColumn("history_volume", F.coalesce(F.col("_v"), F.lit(0)).cast(WIDE))
-        .withColumn("history_blocks", F.coalesce(F.col("_b"), F.lit(0)) + (length - F.col("_n")) * blocks_per_bucket)
-        .withColumn("late", ~live)
-        .withColumn("first_bucket", F.col("_first"))
-        .withColumn("pos", F.col("_pos"))
+    out = counted.withColumns(
+        {
+            "history_len": length,
+            "history_volume": F.coalesce(F.col("_v"), F.lit(0)).cast(WIDE),
+            "history_blocks": F.coalesce(F.col("_b"), F.lit(0)) + (length - F.col("_n")) * blocks_per_bucket,
+            "late": ~live,
+            "first_bucket": F.col("_first"),
+            "pos": F.col("_pos"),
+        }
     )
     return out.drop("_bucket", "_prior", "_first", "_live", "_opens", "_pos", "_v", "_b", "_n")
 
@@ -186,21 +196,22 @@ def candle_series(
     live = F.col("_live")
     # The close of a bucket is its last live price: the next live row, if any, opens a new bucket.
     next_bucket = F.first(F.when(live, F.col("bucket")), ignorenulls=True).over(ahead)
-    staged = numbered.withColumn("_next", next_bucket)
+    forming = F.last(F.when(live, F.col("price")), ignorenulls=True).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    staged = numbered.withColumns({"_next": next_bucket, "_forming": forming})
     closes = live & (F.col("_next") > F.col("bucket"))
     held = F.least(F.lit(keep), F.col("bucket") - F.col("_first"))
     filler = F.least(F.col("_next") - F.col("bucket") - 1, F.greatest(F.lit(0), F.lit(keep - 1) - held))
     entry = F.when(closes, F.struct("window_id", "price", (1 + filler).cast("int").alias("times")))
     back = Window.partitionBy("pool").orderBy("_pos").rangeBetween(-(2 * keep - 1), -1)
-    forming = F.last(F.when(live, F.col("price")), ignorenulls=True).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    gathered = staged.withColumn("_entries", F.array_sort(F.collect_list(entry).over(back))).withColumn("_forming", forming)
+    gathered = staged.withColumn("_entries", F.array_sort(F.collect_list(entry).over(back)))
     past = F.flatten(F.transform("_entries", lambda e: F.array_repeat(e["price"], e["times"])))
     newest = F.slice(past, F.greatest(F.size(past) - (keep - 1), F.lit(1)), F.lit(keep))
     series = F.when(F.col("_forming").isNotNull(), F.concat(newest, F.array("_forming")))
-    out = gathered.withColumn(series_col, series).withColumn("first_bucket", F.col("_first")).withColumn("pos", F.col("_pos"))
-    out = out.withColumn("candle_live", live)
+    out = gathered.withColumns(
+        {series_col: series, "first_bucket": F.col("_first"), "pos": F.col("_pos"), "candle_live": live}
+    )
     return out.drop("_bucket", "_prior", "_first", "_live", "_opens", "_pos", "_next", "_entries", "_forming")
 
 
