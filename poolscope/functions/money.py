@@ -27,10 +27,19 @@ def trunc_div(x: Column, unit: int) -> Column:
 
 
 def mul_div(x: Column, factor: Column, unit: int) -> Column:
-    """trunc(x * factor / unit) without forming the product, so wide x does not overflow."""
-    q, r = split_div(x.cast(WIDE), unit)
-    tail = (r.cast("decimal(12,0)") * factor.cast("decimal(18,0)")).cast(WIDE)
-    return (q * factor.cast("decimal(18,0)") + trunc_div(tail, unit)).cast(WIDE)
+    """trunc(x * factor / unit), exact, for units up to 10^6.
+
+    Usual sizes are one product and one division (its six decimals are exact for such units). Past
+    10^25 the product could leave 38 digits, so quotient and remainder are scaled apart.
+    """
+    x, f = x.cast(WIDE), factor.cast("decimal(18,0)")
+    ratio = (x * f).cast(WIDE) / dec(unit)
+    quick = F.when(x < 0, F.ceil(ratio)).otherwise(F.floor(ratio)).cast(WIDE)
+    q, r = split_div(x, unit)
+    tail = (r.cast("decimal(12,0)") * f).cast(WIDE)
+    return F.when((F.abs(x) < dec(10**25)) & (f < dec(10**12)), quick).otherwise(
+        (q * f + trunc_div(tail, unit)).cast(WIDE)
+    )
 
 
 def leg_fee(amount: Column, pips: Column) -> Column:
@@ -107,26 +116,26 @@ def pow10(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), F.lit("0")).cast(WIDE)
 
 
+def _typed_parts(text: Column) -> tuple[Column, Column, Column]:
+    """(cleaned text, digits before the point, digits after it) of a typed amount."""
+    clean = F.replace(F.trim(text), F.lit(","), F.lit(""))
+    return clean, F.split_part(clean, F.lit("."), F.lit(1)), F.split_part(clean, F.lit("."), F.lit(2))
+
+
 def units_error(text: Column, decimals: Column) -> Column:
     """Why a typed amount cannot be converted, or NULL when it can."""
-    clean = F.replace(F.trim(text), F.lit(","), F.lit(""))
-    fraction = F.regexp_extract(clean, r"\.(\d*)$", 1)
-    bad = (~clean.rlike(r"^\d*(\.\d*)?$")) | clean.isin("", ".")
-    return F.when(F.coalesce(bad, F.lit(True)), F.lit("invalid amount")).when(
+    clean, _, fraction = _typed_parts(text)
+    good = clean.rlike(r"^(?:\d++(?:\.\d*+)?|\.\d++)$")
+    return F.when(~F.coalesce(good, F.lit(False)), F.lit("invalid amount")).when(
         F.length(fraction) > decimals, F.lit("too many decimal places")
     )
 
 
 def to_base_units(text: Column, decimals: Column) -> Column:
-    """Typed amount -> exact base units, without a float in between; NULL when invalid."""
-    clean = F.replace(F.trim(text), F.lit(","), F.lit(""))
-    whole = F.regexp_extract(clean, r"^(\d*)", 1)
-    fraction = F.regexp_extract(clean, r"\.(\d*)$", 1)
+    """Typed amount -> exact base units, without a float in between; NULL when invalid or too wide."""
+    _, whole, fraction = _typed_parts(text)
     digits = F.concat(F.lit("0"), whole, F.rpad(fraction, decimals.cast("int"), F.lit("0")))
-    significant = F.length(F.ltrim(F.lit("0"), digits))
-    return F.when(
-        units_error(text, decimals).isNull() & (significant <= 38), digits.try_cast(WIDE)
-    )
+    return F.when(units_error(text, decimals).isNull(), digits.try_cast(WIDE))
 
 
 def from_base_units(value: Column, decimals: Column, places: int = 6) -> Column:

@@ -66,20 +66,28 @@ def strip_code(source: Column) -> Column:
     return strip_strings(strip_comments(source))
 
 
-# Rules are written for ASCII word boundaries and Unicode blanks. Java's own \\b depends on the JDK
-# (older ones count accented letters as word characters), so both are spelled out.
-_WORD = "[A-Za-z0-9_]"
-_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-BLANKS = " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Rules mean ASCII word boundaries and Unicode blanks. Java's \\b counts accented letters as word
+# characters on some JDKs and its \\s knows ASCII blanks only, so texts that are not plain ASCII are
+# mapped first: blanks to a space, anything else to a sign that is no word character.
+_MORE_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANKS = " \t\n\v\f\r" + _MORE_BLANKS
 
 
-def portable(pattern: str) -> str:
-    """A rule pattern with \\b and \\s made independent of the regex engine's defaults."""
-    return "(?i)" + pattern.replace(r"\b", _BOUNDARY).replace(r"\s", f"[{BLANKS}]")
+def scannable(text: Column) -> Column:
+    """Text as the rules see it; plain ASCII passes through untouched."""
+    spaced = F.translate(text, _MORE_BLANKS, " " * len(_MORE_BLANKS))
+    mapped = F.regexp_replace(spaced, "[^\\x00-\\x7F]", "\u00a4")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(mapped)
+
+
+def rule_regex(pattern: str) -> str:
+    if not pattern.isascii():
+        raise ValueError("rule patterns must be ASCII")
+    return "(?i)" + pattern
 
 
 def matched_flags(code: Column, rules: tuple[Rule, ...]) -> Column:
-    hits = [F.when(code.rlike(portable(r.pattern)), F.lit(r.flag)) for r in rules]
+    hits = [F.when(code.rlike(rule_regex(r.pattern)), F.lit(r.flag)) for r in rules]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 

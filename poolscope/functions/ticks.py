@@ -38,42 +38,26 @@ def range_error(pct: Column, fee: Column) -> Column:
     )
 
 
-def symmetric_range(tick: Column, pct: Column, fee: Column) -> tuple[Column, Column]:
-    """(lower, upper) of a band of pct around the tick, widened when it collapses."""
-    spacing = tick_spacing(fee)
-    width = tick_distance(pct)
+def symmetric_range(tick: Column, width: Column, spacing: Column) -> tuple[Column, Column]:
+    """(lower, upper) of a band `width` ticks around the tick, widened when it collapses."""
     lower = align_tick(tick - width, spacing, up=False)
     upper = align_tick(tick + width, spacing, up=True)
     empty = lower == upper
-    ok = range_error(pct, fee).isNull()
     return (
-        F.when(ok, F.when(empty, align_tick(lower - spacing, spacing, up=False)).otherwise(lower)),
-        F.when(ok, F.when(empty, align_tick(upper + spacing, spacing, up=True)).otherwise(upper)),
+        F.when(empty, align_tick(lower - spacing, spacing, up=False)).otherwise(lower),
+        F.when(empty, align_tick(upper + spacing, spacing, up=True)).otherwise(upper),
     )
 
 
 def one_sided_range(
-    tick: Column, side: Column, offset_pct: Column, width_pct: Column, fee: Column
+    tick: Column, below: Column, near: Column, far: Column, spacing: Column
 ) -> tuple[Column, Column]:
-    """(lower, upper) wholly below the price for token1, wholly above it for token0."""
-    spacing = tick_spacing(fee)
-    near, far = tick_distance(offset_pct), tick_distance(offset_pct + width_pct)
-    below_upper = align_tick(tick - near, spacing, up=False)
-    below_lower = align_tick(tick - far, spacing, up=False)
-    below_lower = F.when(
-        below_lower >= below_upper, align_tick(below_upper - spacing, spacing, up=False)
-    ).otherwise(below_lower)
-    above_lower = align_tick(tick + near, spacing, up=True)
-    above_upper = align_tick(tick + far, spacing, up=True)
-    above_upper = F.when(
-        above_upper <= above_lower, align_tick(above_lower + spacing, spacing, up=True)
-    ).otherwise(above_upper)
-    ok = range_error(offset_pct, fee).isNull() & range_error(width_pct, fee).isNull()
-    below = side == "token1"
-    return (
-        F.when(ok, F.when(below, below_lower).otherwise(above_lower)),
-        F.when(ok, F.when(below, below_upper).otherwise(above_upper)),
-    )
+    """(lower, upper) from `near` to `far` ticks off the price: under it for token1, over it for token0."""
+    inner_down, outer_down = align_tick(tick - near, spacing, up=False), align_tick(tick - far, spacing, up=False)
+    inner_up, outer_up = align_tick(tick + near, spacing, up=True), align_tick(tick + far, spacing, up=True)
+    lower = F.when(outer_down >= inner_down, align_tick(inner_down - spacing, spacing, up=False)).otherwise(outer_down)
+    upper = F.when(outer_up <= inner_up, align_tick(inner_up + spacing, spacing, up=True)).otherwise(outer_up)
+    return F.when(below, lower).otherwise(inner_up), F.when(below, inner_down).otherwise(upper)
 
 
 def sqrt_ratio(tick: Column) -> Column:

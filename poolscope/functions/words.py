@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 WIDE = "decimal(38,0)"
 _TWO64 = "18446744073709551616"
-_HEX = "0123456789abcdef"
-_FLIPPED = "fedcba9876543210"
-_ZEROS33 = "0" * 33
+_ZEROS33, _ONES33 = "0" * 33, "f" * 33
 LIMBS = 8  # 32 bits each
 
 
@@ -30,35 +28,34 @@ def has_words(data: Column, n: int) -> Column:
 
 
 def is_full_word(w: Column) -> Column:
-    return w.rlike("^[0-9a-f]{64}$")
+    return (F.length(w) == 64) & F.unhex(w).isNotNull()
 
 
 def _u64(hex16: Column) -> Column:
     return F.conv(hex16, 16, 10).cast("decimal(20,0)")
 
 
-def _low128(w: Column) -> Column:
+def _low128(w: Column, negative: Column | None = None) -> Column:
+    """The low 128 bits; for a negative word 2^64 comes off the upper half before it is scaled up."""
+    two64 = F.lit(_TWO64).cast("decimal(20,0)")
     hi = _u64(F.substring(w, 33, 16))
-    lo = _u64(F.substring(w, 49, 16))
-    return (hi * F.lit(_TWO64).cast("decimal(20,0)") + lo).cast(WIDE)
+    if negative is not None:
+        hi = F.when(negative, hi - two64).otherwise(hi.cast("decimal(21,0)"))
+    full = (hi * two64 + _u64(F.substring(w, 49, 16))).cast(WIDE)
+    return F.when(w.startswith("0" * 48), _u64(F.substring(w, 49, 16)).cast(WIDE)).otherwise(full)
 
 
 def word_value(w: Column) -> Column:
     """Unsigned value of a word: absent -> 0, partial or wider than 2^124 -> NULL."""
-    return F.when(w == "", F.lit(0).cast(WIDE)).when(
-        is_full_word(w) & w.startswith(_ZEROS33), _low128(w)
-    )
+    fits = w.startswith(_ZEROS33) & is_full_word(w)
+    return F.when(fits, _low128(w)).when(w == "", F.lit(0).cast(WIDE))
 
 
 def signed_value(w: Column) -> Column:
     """Two's-complement value of a word, with the same rules as `word_value`."""
-    negative = F.substring(w, 1, 1) >= "8"
-    magnitude = F.when(negative, F.translate(w, _HEX, _FLIPPED)).otherwise(w)
-    low = _low128(magnitude)
-    return F.when(w == "", F.lit(0).cast(WIDE)).when(
-        is_full_word(w) & magnitude.startswith(_ZEROS33),
-        F.when(negative, (-(low + 1)).cast(WIDE)).otherwise(low),
-    )
+    negative = w.startswith(_ONES33)
+    fits = (negative | w.startswith(_ZEROS33)) & is_full_word(w)
+    return F.when(fits, _low128(w, negative)).when(w == "", F.lit(0).cast(WIDE))
 
 
 def word(data: Column, index: int) -> Column:

@@ -22,10 +22,10 @@ def scan_sources(
     counts in code. Text without the mark is 'unknown' with the flag 'unparseable'. Works on any
     text table, whole texts, no Python.
     """
-    staged = df.withColumn("_plain", S.strip_comments(F.col(source)))
+    staged = df.withColumn("_plain", S.strip_comments(S.scannable(F.col(source))))
     staged = staged.withColumn("_code", S.strip_strings(F.col("_plain")))
     flags = S.matched_flags(F.col("_code"), rules)
-    parseable = F.lit(True) if mark is None else F.coalesce(F.col("_plain").rlike(S.portable(mark)), F.lit(False))
+    parseable = F.lit(True) if mark is None else F.coalesce(F.col("_plain").rlike(S.rule_regex(mark)), F.lit(False))
     staged = staged.withColumn("flags", F.when(parseable, flags).otherwise(F.array(F.lit("unparseable"))))
     level = F.when(parseable, S.risk_level(F.col("flags"), rules)).otherwise(F.lit("unknown"))
     return staged.withColumn("risk", level).drop("_plain", "_code")

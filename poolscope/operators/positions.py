@@ -113,22 +113,22 @@ def plan_ranges(
 ) -> DataFrame:
     """tick_lower, tick_upper and spacing: a band around the price, or a one-sided range off it."""
     t, f = F.col(tick), F.col(fee)
-    if side is None:
-        lower, upper = X.symmetric_range(t, pct, f)
-        error = X.range_error(pct, f)
-    else:
+    # Logarithms and the spacing are columns of their own, so each is computed once per row.
+    prepared = {"spacing": X.tick_spacing(f), "_width": X.tick_distance(pct)}
+    error = X.range_error(pct, f)
+    if side is not None:
         offset = offset_pct if offset_pct is not None else F.lit(1.0)
-        both = X.symmetric_range(t, pct, f)
-        single = X.one_sided_range(t, side, offset, pct, f)
-        lower = F.when(side.isNull(), both[0]).otherwise(single[0])
-        upper = F.when(side.isNull(), both[1]).otherwise(single[1])
-        error = F.coalesce(X.range_error(pct, f), F.when(side.isNotNull(), X.range_error(offset, f)))
-    return (
-        df.withColumn("tick_lower", lower)
-        .withColumn("tick_upper", upper)
-        .withColumn("spacing", X.tick_spacing(f))
-        .withColumn("range_error", error)
-    )
+        prepared |= {"_side": side, "_near": X.tick_distance(offset), "_far": X.tick_distance(offset + pct)}
+        error = F.coalesce(error, F.when(side.isNotNull(), X.range_error(offset, f)))
+    staged = df.withColumns({**prepared, "range_error": error})
+    lower, upper = X.symmetric_range(t, F.col("_width"), F.col("spacing"))
+    if side is not None:
+        around = F.col("_side").isNull()
+        single = X.one_sided_range(t, F.col("_side") == "token1", F.col("_near"), F.col("_far"), F.col("spacing"))
+        lower, upper = (F.when(around, a).otherwise(b) for a, b in zip((lower, upper), single))
+    ok = F.col("range_error").isNull()
+    ranged = staged.withColumns({"tick_lower": F.when(ok, lower), "tick_upper": F.when(ok, upper)})
+    return ranged.drop("_width", "_side", "_near", "_far")
 
 
 def approval_gap(requests: DataFrame, allowances: DataFrame) -> DataFrame:
@@ -181,8 +181,10 @@ def entry_quotes(
         digits = F.when(flip, F.col(f"decimals_{second}")).otherwise(F.col(f"decimals_{first}"))
         paired = paired.withColumn(f"decimals{leg}", digits).withColumn(f"_text{leg}", text)
     for leg in ("0", "1"):
-        paired = paired.withColumn(f"amount{leg}", M.to_base_units(F.col(f"_text{leg}"), F.col(f"decimals{leg}")))
-        paired = paired.withColumn(f"_bad{leg}", M.units_error(F.col(f"_text{leg}"), F.col(f"decimals{leg}")))
+        text, digits = F.col(f"_text{leg}"), F.col(f"decimals{leg}")
+        paired = paired.withColumns(
+            {f"amount{leg}": M.to_base_units(text, digits), f"_bad{leg}": M.units_error(text, digits)}
+        )
     quoted = pool_quotes(paired, registry, prices)
     zero0, zero1 = F.col("amount0") == 0, F.col("amount1") == 0
     side = F.when(zero0, F.lit("token1")).when(zero1, F.lit("token0"))
