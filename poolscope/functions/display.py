@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from poolscope.config import EXPLORER_TOKEN_URL
+from poolscope.functions.words import magnitude
 
 # --- fixed values: report marks ---
 DASH = "—"
@@ -80,7 +81,7 @@ def fmt_market_cap(usd: Column, html: bool = False) -> Column:
 
 def fmt_usd_amount(value: Column, decimals: int = 2) -> Column:
     """Exact dollars from 1e18 fixed point, truncated so a figure never reads too high."""
-    digits = F.abs(value).cast("string")
+    digits = magnitude(value).cast("string")
     padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(19)).cast("int"), F.lit("0"))
     whole = F.substring(padded, F.lit(1), (F.length(padded) - 18).cast("int"))
     fraction = F.substring(padded, (F.length(padded) - 17).cast("int"), F.lit(decimals))

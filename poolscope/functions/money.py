@@ -13,7 +13,7 @@ Q96 = float(2**96)
 
 def dec(value: int) -> Column:
     """An integer literal as an exact decimal of just enough digits."""
-    return F.lit(str(value)).cast(f"decimal({max(1, len(str(abs(value))))},0)")
+    return F.lit(str(value)).cast(f"decimal({len(str(abs(value)))},0)")
 
 
 def split_div(x: Column, unit: int) -> tuple[Column, Column]:
@@ -37,7 +37,7 @@ def mul_div(x: Column, factor: Column, unit: int) -> Column:
     quick = F.when(x < 0, F.ceil(ratio)).otherwise(F.floor(ratio)).cast(WIDE)
     q, r = split_div(x, unit)
     tail = (r.cast("decimal(12,0)") * f).cast(WIDE)
-    return F.when((F.abs(x) < dec(10**25)) & (f < dec(10**12)), quick).otherwise(
+    return F.when((x < dec(10**25)) & (x > dec(-(10**25))) & (f < dec(10**12)), quick).otherwise(
         (q * f + trunc_div(tail, unit)).cast(WIDE)
     )
 

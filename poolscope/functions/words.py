@@ -17,6 +17,16 @@ _ZEROS33, _ONES33 = "0" * 33, "f" * 33
 LIMBS = 8  # 32 bits each
 
 
+def negated(x: Column) -> Column:
+    """-x of a wide decimal. Spark's unary minus and abs() round to 34 digits; subtraction does not."""
+    return (F.lit(0).cast(WIDE) - x).cast(WIDE)
+
+
+def magnitude(x: Column) -> Column:
+    """|x| of a wide decimal, exact (see `negated`)."""
+    return F.when(x < 0, negated(x)).otherwise(x.cast(WIDE))
+
+
 def word_hex(data: Column, index: int) -> Column:
     """The n-th word's hex digits, lower-cased; '' when the data ends before it."""
     return F.lower(F.substring(data, 3 + 64 * index, 64))
@@ -149,7 +159,7 @@ def exact_sum(df: DataFrame, keys: list[str], word_col: str, out: str = "total",
     )
     fast = F.coalesce(F.col("_fast"), F.lit(0).cast(WIDE))
     # The narrow total joins the limbs as two's-complement-free parts: |x| < 2^128 fits four limbs.
-    low = F.abs(fast)
+    low = magnitude(fast)
     step = F.lit(4294967296).cast("decimal(11,0)")
     pieces, rest = [], low
     for _ in range(4):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolscope.functions.money import dec, leg_fee, mul_div, plausible_fee
-from poolscope.functions.words import WIDE
+from poolscope.functions.words import WIDE, magnitude
 
 POOL_COLUMNS = ["token", "anchor", "anchor_kind", "anchor_is_token0"]
 
@@ -26,7 +26,7 @@ _E18, _E12, _E9, _E6 = 10**18, 10**12, 10**9, 10**6
 
 def split_amount(df: DataFrame, name: str) -> DataFrame:
     """Add `_name_h` and `_name_l` with name = h * 10^18 + l, both NULL for the slow path."""
-    small = F.abs(F.col(name)) < dec(_FAST)
+    small = (F.col(name) < dec(_FAST)) & (F.col(name) > dec(-_FAST))
     unit = f"CAST('{_E18}' AS DECIMAL(19,0))"
     return df.withColumn(f"_{name}_h", F.when(small, F.expr(f"{name} div {unit}"))).withColumn(
         f"_{name}_l", F.when(small, F.expr(f"{name} % {unit}").cast("bigint"))
@@ -100,7 +100,7 @@ def aggregate_v3(swaps: DataFrame, keys: list[str] | None = None, approx: bool =
     keys = keys or ["window_id", "pool"]
     pips = F.col("fee_pips")
     h, low = F.col("_h"), F.col("_l")
-    wanted = _sums("volume_anchor", _volume_pieces(h, low), F.when(h.isNull(), F.abs(_anchor_leg())))
+    wanted = _sums("volume_anchor", _volume_pieces(h, low), F.when(h.isNull(), magnitude(_anchor_leg())))
     for leg in ("0", "1"):
         lh, ll, amount = F.col(f"_amount{leg}_h"), F.col(f"_amount{leg}_l"), F.col(f"amount{leg}")
         quick = lh.isNotNull() & (pips <= _E6)
@@ -123,7 +123,7 @@ def aggregate_cl(
     An implausible fee keeps its volume but adds no fee and never becomes the pool's last fee.
     """
     keys = keys or ["window_id", "pool"]
-    fee, leg = F.col("event_fee"), F.abs(_anchor_leg())
+    fee, leg = F.col("event_fee"), magnitude(_anchor_leg())
     good = plausible_fee(fee, max_fee_pips)
     h, low = F.col("_h"), F.col("_l")
     quick = h.isNotNull() & (fee <= _E6)
