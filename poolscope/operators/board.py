@@ -162,11 +162,15 @@ def fit_rows(
     """
     so_far = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.row_number().over(Window.partitionBy(*group).orderBy(position))
-    size = F.sum(D.utf16_units(F.col(text))).over(so_far) + (n - 1) * gap
+    size = F.sum(D.utf16_units(F.col(text))).over(so_far) + (F.col("_n") - 1) * gap
     base = header_units if header_units is not None else F.lit(0)
+    # Every row after the first costs at least its gap, so rows past this number cannot fit.
+    at_most = limit // gap + 1 if gap > 0 else None
+    numbered = rows.withColumn("_n", n)
+    if at_most is not None:
+        numbered = numbered.filter(F.col("_n") <= at_most)
     return (
-        rows.withColumn("_n", n)
-        .withColumn("message_units", (size + base).cast("bigint"))
+        numbered.withColumn("message_units", (size + base).cast("bigint"))
         .withColumn("placeholder", (F.col("_n") == 1) & (F.col("message_units") > limit))
         .filter((F.col("message_units") <= limit) | F.col("placeholder"))
         .drop("_n")

@@ -134,6 +134,11 @@ def volume_history(
     return out.drop("_bucket", "_prior", "_first", "_live", "_opens", "_pos", "_v", "_b", "_n")
 
 
+def _seen_order(rows: DataFrame) -> list[Column]:
+    """Where in its latest window a pool was first seen, kept so that `keep_recent` can tell ties apart."""
+    return [F.max_by("first_seq", "window_id").alias("first_seq")] if "first_seq" in rows.columns else []
+
+
 def volume_state(history: DataFrame, keep: int = 24) -> DataFrame:
     """Bucket rows still needed to continue: the forming bucket and the `keep` entries before it.
 
@@ -146,6 +151,7 @@ def volume_state(history: DataFrame, keep: int = 24) -> DataFrame:
             F.sum("volume_anchor").cast(WIDE).alias("volume_anchor"),
             F.sum("window_blocks").alias("window_blocks"),
             F.max("window_id").alias("window_id"),
+            *_seen_order(history),
         )
     )
     newest = F.max("pos").over(Window.partitionBy("pool"))
@@ -220,7 +226,11 @@ def candle_state(series_rows: DataFrame, keep: int = 30) -> DataFrame:
     grouped = (
         series_rows.filter(F.col("candle_live"))
         .groupBy("pool", "bucket", "first_bucket", "pos")
-        .agg(F.max_by("price", "window_id").alias("price"), F.max("window_id").alias("window_id"))
+        .agg(
+            F.max_by("price", "window_id").alias("price"),
+            F.max("window_id").alias("window_id"),
+            *_seen_order(series_rows),
+        )
     )
     newest = F.max("pos").over(Window.partitionBy("pool"))
     return grouped.withColumn("_top", newest).filter(F.col("pos") >= F.col("_top") - (2 * keep - 1)).drop("_top")
@@ -237,10 +247,14 @@ def rsi_tag(df: DataFrame, series_col: str = "series", min_volume: int = 0) -> D
 
 
 def keep_recent(state: DataFrame, n: int = 500, key: str = "pool") -> DataFrame:
-    """Rows of the n most recently updated keys. The n newest come from a distributed top-k, not a global sort."""
+    """Rows of the n most recently updated keys; within one window the later first-seen counts as newer.
+
+    The n newest come from a distributed top-k, not a global sort.
+    """
+    first_seen = F.col("first_seq") if "first_seq" in state.columns else F.lit(None).cast("bigint")
     newest = (
         state.groupBy(key)
-        .agg(F.max("window_id").alias("_seen"))
+        .agg(F.max(F.struct("window_id", first_seen.alias("first_seq"))).alias("_seen"))
         .orderBy(F.col("_seen").desc(), F.col(key))
         .limit(n)
         .select(key)

@@ -123,13 +123,21 @@ def all_swaps(v3: DataFrame, cl: DataFrame) -> DataFrame:
 
 
 def block_slices(ranges: DataFrame, size: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Cover each inclusive range with gap-free slices of at most `size` blocks."""
+    """Cover each inclusive range with gap-free slices of at most `size` blocks.
+
+    Ranges unfold in two steps, stretches of 4,096 slices first, so no array holds a whole range.
+    """
     step = max(1, int(size))
+    stretch = step * 4096
     start, end = F.col(lo).cast("bigint"), F.col(hi).cast("bigint")
-    starts = F.when(start <= end, F.sequence(start, end, F.lit(step).cast("bigint")))
-    return ranges.withColumn("slice_from", F.explode(starts)).withColumn(
-        "slice_to", F.least(F.col("slice_from") + (step - 1), end)
-    )
+
+    def starts(first: Column, last: Column, width: int) -> Column:
+        return F.explode(F.when(first <= last, F.sequence(first, last, F.lit(width).cast("bigint"))))
+
+    coarse = ranges.withColumn("_stretch", starts(start, end, stretch))
+    last = F.least(F.col("_stretch") + (stretch - 1), end)
+    fine = coarse.withColumn("slice_from", starts(F.col("_stretch"), last, step)).drop("_stretch")
+    return fine.withColumn("slice_to", F.least(F.col("slice_from") + (step - 1), end))
 
 
 def window_bounds(last_block: Column, head_block: Column, lookback: int) -> dict[str, Column]:

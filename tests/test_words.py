@@ -117,3 +117,24 @@ def test_pool_keys(spark):
     assert got["a"].key_status == "ok" and got["a"].currency0 == "0x" + "0" * 40
     assert got["b"].key_status == "empty"
     assert got["c"].key_status is None and got["d"].key_status is None
+
+
+def test_malformed_logs_are_counted_in_the_same_pass(spark):
+    from pyspark.sql import Observation
+
+    t = "0x" + "0" * 64
+    logs = spark.createDataFrame([log([t, t, t], [1]), log([t], [1]), log([t, t], [1])], "address string, topics array<string>, data string, block_number string, log_index int")
+    seen = Observation()
+    assert D.usable_logs(logs, seen).count() == 1
+    assert seen.get == {"logs": 3, "malformed_logs": 2}
+
+
+def test_order_key_refuses_to_wrap(spark):
+    import pytest
+
+    from poolscope.sources.logs import chain_order
+
+    df = spark.createDataFrame([(5, 7), (5, 1 << 20)], "b bigint, i bigint")
+    assert df.filter("i = 7").select(chain_order(F.col("b"), F.col("i"))).first()[0] == (5 << 20) + 7
+    with pytest.raises(Exception, match="order key"):
+        df.select(chain_order(F.col("b"), F.col("i"))).collect()

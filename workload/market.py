@@ -248,8 +248,8 @@ def baseline(spark, sf):
 
 @query(
     "keep_recent",
-    f"""{_BASE}, last_seen AS (SELECT pool, max(window_id) AS seen FROM samples GROUP BY pool),
-    newest AS (SELECT pool FROM last_seen ORDER BY seen DESC, pool LIMIT 20)
+    f"""{_BASE}, last_seen AS (SELECT pool, max(window_id) AS seen, arg_max(first_seq, window_id) AS fs FROM samples GROUP BY pool),
+    newest AS (SELECT pool FROM last_seen ORDER BY seen DESC, fs DESC LIMIT 20)
     SELECT pool, count(*) AS samples FROM samples WHERE pool IN (SELECT pool FROM newest) GROUP BY pool""",
 )
 def keep_recent(spark, sf):
