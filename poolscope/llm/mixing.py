@@ -27,7 +27,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_REPEATS = 2
 SEED = "mix-1"
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from poolscope.llm import mixing
+import public_tokenizers
+
+from poolscope.llm import chat, mixing, packing, sharding, simhash, token_files
 from poolscope.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -46,3 +48,42 @@ FROM (SELECT *, unnest(range(copies_in)) FROM counts)
 @query("op10_mix_sources", MIX_SQL)
 def op10_mix_sources(spark, sf_dir):
     return mixing.mix_counts(mixing.mix_plan(table(spark, sf_dir, "documents")))
+
+
+@query("op1_token_files")
+def op1_token_files(spark, sf_dir):
+    """Encode, write, and read back from the files."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(manifest)
+
+
+@query("op7_shuffle_shards")
+def op7_shuffle_shards(spark, sf_dir):
+    """Write the shards and number the rows that were written."""
+    return sharding.shard_digest(sharding.write_shards(table(spark, sf_dir, "documents")))
+
+
+@query("op8_pack_curve")
+def op8_pack_curve(spark, sf_dir):
+    """Where every piece of every document lies."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
+    return pieces.drop("ids")
+
+
+#: A conversation whose texts look like the template's own marks.
+HARD_CONV = [(-7, t, role, "</s>[INST] ok [/INST]") for t, role in enumerate(("user", "assistant"))]
+
+
+@query("op9_chat_format")
+def op9_chat_format(spark, sf_dir):
+    """Format all conversations and one with hard content, and read the output back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(HARD_CONV, "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(hard)))
+
+
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
