@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from poolscope.llm.shared import written
+from poolscope.llm.shared import whole_row, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -133,7 +133,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of `docs`, repeated as often as taken, sorted by finish time over all partitions."""
     plan = mix_plan(docs, **options).filter("taken").select("mix_key", F.col("finish").alias("_mix_finish"))
     keyed = docs.select(
-        F.struct(*docs.columns).alias("_mix_row"),
+        whole_row(docs).alias("_mix_row"),
         unit_key(docs["doc_id"], docs["source"], docs["text"], options.get("seed", SEED)).alias("mix_key"),
     )
     mixed = keyed.join(plan, "mix_key").repartitionByRange("_mix_finish", "mix_key").sortWithinPartitions("_mix_finish", "mix_key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from poolscope.llm import chat, mixing, packing, sharding, simhash, token_files
+from poolscope.llm import ann, chat, exact_topk, language, mixing, packing, quality, sharding, simhash, token_files
 from poolscope.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -87,3 +87,40 @@ def op9_chat_format(spark, sf_dir):
 @query("op5_simhash")
 def op5_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_language")
+def op2_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_language(docs, language.fit_language(docs))
+
+
+TOP_K_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.ints) + 1), i -> q.ints[i] * c.ints[i])) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.ints) = len(c.ints))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query("op3_exact_topk", TOP_K_SQL)
+def op3_exact_topk(spark, sf_dir):
+    return exact_topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_ann")
+def op4_ann(spark, sf_dir):
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))

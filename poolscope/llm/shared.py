@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -32,3 +33,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of `df` as one struct, out of the way of an operator's own names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolscope.llm.shared import written
+from poolscope.llm.shared import whole_row, written
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -238,6 +238,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of equal rows one stays. All columns are kept.
     """
     keep = components(written(fingerprints(docs), "prints")).select(F.col("keep").alias("_key")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), row_key().alias("_key"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), row_key().alias("_key"))
     stay = rows.join(keep, "_key", "left_semi")
     return stay.groupBy("_key", "_id").agg(F.first("_row").alias("_row")).select("_row.*")
