@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 900_000
 CACHE_CHARS = 48
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -28,11 +29,12 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict = {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def pieces(self, text: str) -> list | None:
         """Cache keys of the text's pieces in order; None if the text must be encoded as a whole."""
@@ -42,22 +44,16 @@ class PieceEncoder:
         raise NotImplementedError
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; a null text has none."""
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        known, out = self.known, []
-        for text in texts:
-            keys = self.pieces(text) if text else []
-            if keys is None:
-                out.append(self.ids_of([text])[0])
-                continue
-            try:
-                out.append(b"".join([known[k] for k in keys]))
-            except KeyError:
-                new = [k for k in set(keys) if k not in known]
-                fresh = dict(zip(new, self.ids_of([self.text_of(k) for k in new]), strict=True))
-                out.append(b"".join([known[k] if k in known else fresh[k] for k in keys]))
-                known.update((k, v) for k, v in fresh.items() if len(k) <= CACHE_CHARS)
+        """Ids of each text as bytes; a null text has none. Once full, the cache stays as it is."""
+        keys = [self.pieces(t) if t else [] for t in texts]
+        known = self.known
+        new = list(set().union(*(k for k in keys if k)) - known.keys())
+        known.update(zip(new, self.ids_of([self.text_of(k) for k in new]), strict=True))
+        out = [self.ids_of([t])[0] if k is None else b"".join([known[x] for x in k]) for t, k in zip(texts, keys, strict=True)]
+        room = CACHE_PIECES - len(known) + len(new)
+        for i, k in enumerate(new):
+            if i >= room or len(k) > CACHE_CHARS:
+                del known[k]
         return out
 
 
