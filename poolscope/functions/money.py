@@ -27,18 +27,18 @@ def trunc_div(x: Column, unit: int) -> Column:
 
 
 def mul_div(x: Column, factor: Column, unit: int) -> Column:
-    """trunc(x * factor / unit), exact, for units up to 10^6.
+    """trunc(x * factor / unit), exact, for units up to 10^6; NULL where it leaves 38 digits.
 
     Usual sizes are one product and one division (its six decimals are exact for such units). Past
     10^25 the product could leave 38 digits, so quotient and remainder are scaled apart.
     """
-    x, f = x.cast(WIDE), factor.cast("decimal(18,0)")
+    x, f = x.cast(WIDE), factor.try_cast("decimal(18,0)")
     ratio = (x * f).cast(WIDE) / dec(unit)
     quick = F.when(x < 0, F.ceil(ratio)).otherwise(F.floor(ratio)).cast(WIDE)
     q, r = split_div(x, unit)
     tail = (r.cast("decimal(12,0)") * f).cast(WIDE)
     return F.when((x < dec(10**25)) & (x > dec(-(10**25))) & (f < dec(10**12)), quick).otherwise(
-        (q * f + trunc_div(tail, unit)).cast(WIDE)
+        F.try_add(F.try_multiply(q, f).cast(WIDE), trunc_div(tail, unit)).cast(WIDE)
     )
 
 
@@ -78,7 +78,7 @@ def native_rate_from_sqrt(sqrt_price: Column, native_is_token0: Column) -> Colum
 
 def to_usd(amount: Column, kind: Column, rate: Column) -> Column:
     """Anchor units -> dollars, both 1e18 fixed point. NULL when the needed rate is unknown."""
-    scaled = F.floor(usable_rate(rate) * 1_000_000 + 0.5).cast("decimal(18,0)")
+    scaled = F.floor(usable_rate(rate) * 1_000_000 + 0.5).try_cast("decimal(18,0)")
     return F.when(kind == "usd", amount.cast(WIDE)).when(
         kind == "bnb", mul_div(amount, scaled, 1_000_000)
     )

@@ -115,7 +115,9 @@ def volume_history(
     live = F.col("_live")
     counted = numbered.withColumns(
         {
-            "_v": F.sum(F.when(live, F.col("volume_anchor"))).over(recent),
+            "_v": F.try_sum(F.when(live, F.col("volume_anchor"))).over(recent),
+            "_known": F.count(F.when(live, F.col("volume_anchor"))).over(recent),
+            "_lived": F.count(F.when(live, F.lit(1))).over(recent),
             "_b": F.sum(F.when(live, F.col("window_blocks"))).over(recent),
             "_n": F.count(F.when(F.col("_opens"), F.lit(1))).over(recent),
         }
@@ -124,14 +126,15 @@ def volume_history(
     out = counted.withColumns(
         {
             "history_len": length,
-            "history_volume": F.coalesce(F.col("_v"), F.lit(0)).cast(WIDE),
+            # an unknown volume in the history, or a total beyond 38 digits, leaves it unknown
+            "history_volume": F.when(F.col("_lived") == 0, F.lit(0)).when(F.col("_known") == F.col("_lived"), F.col("_v")).cast(WIDE),
             "history_blocks": F.coalesce(F.col("_b"), F.lit(0)) + (length - F.col("_n")) * blocks_per_bucket,
             "late": ~live,
             "first_bucket": F.col("_first"),
             "pos": F.col("_pos"),
         }
     )
-    return out.drop("_bucket", "_prior", "_first", "_live", "_opens", "_pos", "_v", "_b", "_n")
+    return out.drop("_bucket", "_prior", "_first", "_live", "_opens", "_pos", "_v", "_known", "_lived", "_b", "_n")
 
 
 def _seen_order(rows: DataFrame) -> list[Column]:
@@ -198,10 +201,11 @@ def candle_series(
     priced = F.col("price").isNotNull()
     numbered = _positions(rows, keep, priced)
     order = Window.partitionBy("pool").orderBy("window_id", "bucket")
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
     live = F.col("_live")
     # The close of a bucket is its last live price: the next live row, if any, opens a new bucket.
-    next_bucket = F.first(F.when(live, F.col("bucket")), ignorenulls=True).over(ahead)
+    # Over the reversed order that is a running value, so a pool's rows are read once.
+    behind = Window.partitionBy("pool").orderBy(F.col("window_id").desc(), F.col("bucket").desc())
+    next_bucket = F.last(F.when(live, F.col("bucket")), ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, -1))
     forming = F.last(F.when(live, F.col("price")), ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

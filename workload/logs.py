@@ -21,7 +21,7 @@ def _word(expr: str) -> str:
     return f"concat(repeat(CASE WHEN {expr} < 0 THEN 'f' ELSE '0' END, 48), lpad(lower(hex({expr})), 16, '0'))"
 
 
-def raw_logs(spark, sf, venue: str = "v3") -> DataFrame:
+def raw_logs(spark, sf, venue: str = "v3", wide_cl: bool = False) -> DataFrame:
     """Swap logs as a node returns them, with the awkward ones left in.
 
     Some logs lack a topic, some data fields stop after two words, some first amounts are 128 bits
@@ -43,7 +43,7 @@ def raw_logs(spark, sf, venue: str = "v3") -> DataFrame:
     else:
         address = f"'{cfg.log_addresses[0]}'"
         topics = f"array('{cfg.swap_topic0}', concat('0x', lpad(CAST(pool_id AS string), 64, '0')), concat('0x', {trader}))"
-        data = f"concat('0x', {_word('a0')}, {_word('a1')}, {sqrt}, repeat('0', 128), {_word('CAST(event_fee AS bigint)')}, repeat('0', 64))"
+        data = f"concat('0x', {word0 if wide_cl else _word('a0')}, {_word('a1')}, {sqrt}, repeat('0', 128), {_word('CAST(event_fee AS bigint)')}, repeat('0', 64))"
     return base.selectExpr(
         f"'{cfg.swap_topic0}' AS topic0",
         f"{address} AS address",
