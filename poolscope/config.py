@@ -129,17 +129,21 @@ RATE_POOL = "0x172fcd41e0913e95784454622d1c3724f546f849"
 
 @dataclass(frozen=True)
 class BoardConfig:
-    """Tunable numbers of a board run; the defaults are the published ones."""
+    """Tunable numbers of a board run.
+
+    The defaults are the published ones, without the two limits of a single live process: how many
+    tokens a board may look up and how many pools are tracked (see `live_config`).
+    """
 
     blocks_per_bucket: int = 667
     lookback_blocks: int = 300
     rows_per_group: int = 8
     min_market_cap_usd: float = 300_000.0
-    max_lookups: int | None = 40
+    max_lookups: int | None = None
     rsi_min_volume: int = 0
     history_buckets: int = 24
     retained_closes: int = 30
-    tracked_pools: int = 500
+    tracked_pools: int | None = None
     spike_min_buckets: int = 3
     spike_floor_usd18: int = 50 * 10**18
     spike_ceiling: float = 999.0
@@ -149,6 +153,11 @@ class BoardConfig:
     deny_enabled: bool = True
 
 
+def live_config(**changes) -> BoardConfig:
+    """The published limits of a live process: 40 lookups a board, the newest 500 pools tracked."""
+    return BoardConfig(**{"max_lookups": 40, "tracked_pools": 500, **changes})
+
+
 # How long an answer stays fresh, in milliseconds (None: for ever).
 RATE_TTL_MS = 60_000
 SUPPLY_TTL_MS = 3_600_000

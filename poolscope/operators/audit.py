@@ -78,18 +78,18 @@ def resolve_audit(answers: DataFrame, order: list[str], key: str = "token") -> D
     Walking the providers: no answer at all (NULL or a missing row) ends it undecided, a skip makes
     the vote incomplete, 'not-found' asks the next one, the first 'found' or 'verified' wins. All
     'not-found' and complete means unverified; undecided tokens give NULL. As every provider has one
-    fixed place this is a conditional aggregate, one pass with partials; nothing is collected.
+    fixed place this is a conditional aggregate, one pass with partials; nothing is collected. Of
+    several answers of a provider the newest by `answered_at` counts, as one row.
     """
+    when = F.col("answered_at") if "answered_at" in answers.columns else F.lit(0)
     statuses, winners = [], []
     at = lambda p: F.col("provider") == p
     columns = []
     for i, provider in enumerate(order):
-        columns += [
-            F.max(F.when(at(provider), F.col("status"))).alias(f"_s{i}"),
-            F.max(F.when(at(provider), F.col("risk"))).alias(f"_r{i}"),
-            F.max(F.when(at(provider), F.col("flags"))).alias(f"_f{i}"),
-        ]
+        columns.append(F.max(F.when(at(provider), F.struct(when.alias("at"), "status", "risk", "flags"))).alias(f"_a{i}"))
     wide = answers.groupBy(key).agg(*columns)
+    for i in range(len(order)):
+        wide = wide.withColumns({f"_{c}{i}": F.col(f"_a{i}.{name}") for c, name in (("s", "status"), ("r", "risk"), ("f", "flags"))})
     for i in range(len(order)):
         statuses.append(F.col(f"_s{i}"))
         winners.append(F.col(f"_s{i}").isin("found", "verified"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from poolscope import config
 from poolscope.functions import display as D
-from poolscope.plans.joins import join_dimension
 from poolscope.sources.reference import lookup
 
 
@@ -36,12 +35,12 @@ def enrich(
     out = chosen
     if symbols is not None:
         dim = symbols.select(F.col("token").alias(token_col), F.col("symbol").alias("_symbol"))
-        out = join_dimension(out, dim, [token_col], "left")
+        out = out.join(dim, [token_col], "left")
     else:
         out = out.withColumn("_symbol", F.lit(None).cast("string"))
     if audits is not None:
         dim = audits.select(F.col("token").alias(token_col), "verified", "risk")
-        out = join_dimension(out, dim, [token_col], "left")
+        out = out.join(dim, [token_col], "left")
     else:
         out = out.withColumn("verified", F.lit(None).cast("boolean")).withColumn("risk", F.lit(None).cast("string"))
     known = F.when(F.col("_symbol") != "", F.col("_symbol"))

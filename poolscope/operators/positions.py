@@ -9,7 +9,6 @@ from poolscope import config
 from poolscope.functions import money as M
 from poolscope.functions import ticks as X
 from poolscope.functions.words import WIDE
-from poolscope.plans.joins import join_dimension
 
 
 def sort_pair(df: DataFrame, a: str = "token_a", b: str = "token_b") -> DataFrame:
@@ -49,7 +48,7 @@ def value_positions(positions: DataFrame, prices: DataFrame, exact: bool = False
     Default: DOUBLE columns, fully inside the JVM. exact=True: integer text by an Arrow UDF, which
     needs `sqrt_price_word` in the prices. NULL amounts mean an inverted range or no price.
     """
-    joined = join_dimension(positions, prices, ["pool"], "left")
+    joined = positions.join(prices, ["pool"], "left")
     lower, upper = F.col("tick_lower"), F.col("tick_upper")
     error = F.when(lower >= upper, F.lit("empty range")).when(
         (lower < config.MIN_TICK) | (upper > config.MAX_TICK), F.lit("tick out of range")
@@ -144,8 +143,8 @@ def pool_quotes(requests: DataFrame, registry: DataFrame, prices: DataFrame) ->
     Missing or zero pools and unsupported tiers end up in `error`.
     """
     reg = registry.select("token0", "token1", "fee_pips", F.lower("pool").alias("pool"))
-    found = join_dimension(requests, reg, ["token0", "token1", "fee_pips"], "left")
-    priced = join_dimension(found, prices.select("pool", "sqrt_price", "tick"), ["pool"], "left")
+    found = requests.join(reg, ["token0", "token1", "fee_pips"], "left")
+    priced = found.join(prices.select("pool", "sqrt_price", "tick"), ["pool"], "left")
     error = (
         F.when(X.tick_spacing(F.col("fee_pips")).isNull(), F.lit("unsupported fee tier"))
         .when(F.col("pool").isNull() | (F.col("pool") == config.ZERO_ADDRESS), F.lit("no such pool"))
@@ -201,7 +200,7 @@ def entry_quotes(
         granted = allowances.select(
             "owner", F.col("token").alias(f"token{leg}"), F.col("allowance").alias(f"_allow{leg}")
         )
-        out = join_dimension(out, granted, ["owner", f"token{leg}"], "left")
+        out = out.join(granted, ["owner", f"token{leg}"], "left")
         have = F.coalesce(F.col(f"_allow{leg}"), F.lit(0).cast(WIDE))
         short = (F.col(f"amount{leg}") > 0) & (have < F.col(f"amount{leg}"))
         out = out.withColumn(f"approve{leg}", F.coalesce(short, F.lit(False)) & F.col("error").isNull())
@@ -215,8 +214,10 @@ def holdings(balances: DataFrame) -> DataFrame:
     )
 
 
-def list_positions(positions: DataFrame, limit: int = 10) -> DataFrame:
-    """The first `limit` positions of each owner with their slot numbers, as a listing shows them."""
+def list_positions(positions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Positions of each owner with their slot numbers; the first `limit` of them where one is given."""
     w = Window.partitionBy("owner").orderBy("token_id")
-    numbered = positions.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= limit)
+    numbered = positions.withColumn("slot", F.row_number().over(w))
+    if limit is not None:
+        numbered = numbered.filter(F.col("slot") <= limit)
     return numbered.withColumn("empty", F.col("liquidity") == 0)

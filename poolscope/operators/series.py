@@ -250,11 +250,13 @@ def rsi_tag(df: DataFrame, series_col: str = "series", min_volume: int = 0) -> D
     )
 
 
-def keep_recent(state: DataFrame, n: int = 500, key: str = "pool") -> DataFrame:
-    """Rows of the n most recently updated keys; within one window the later first-seen counts as newer.
+def keep_recent(state: DataFrame, n: int | None = None, key: str = "pool") -> DataFrame:
+    """Rows of the n most recently updated keys (None: of all); within one window the later first-seen counts as newer.
 
     The n newest come from a distributed top-k, not a global sort.
     """
+    if n is None:
+        return state
     first_seen = F.col("first_seq") if "first_seq" in state.columns else F.lit(None).cast("bigint")
     newest = (
         state.groupBy(key)

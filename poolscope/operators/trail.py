@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 
 from poolscope import config
 from poolscope.functions import display as D
-from poolscope.plans.joins import join_dimension
 from poolscope.sources.reference import lookup
 
 MAX_TRAIL = 15
 
 
-def execution_trail(runs: DataFrame, details: DataFrame, n: int = 6) -> DataFrame:
-    """The newest n direct runs (n clamped to 1..15) with their call details where known.
+def execution_trail(runs: DataFrame, details: DataFrame, n: int | None = 6) -> DataFrame:
+    """The newest n direct runs, or all of them with None, with their call details where known.
 
-    The list is cut to its newest runs first (a distributed top-k), so only those meet the details.
+    A report shows at most `MAX_TRAIL`, which its caller asks for. The list is cut to its newest runs first (a distributed top-k), so only those meet the details.
     A run without details stays: it is evidence that something was executed.
     """
-    limit = min(max(n, 1), MAX_TRAIL)
-    newest = runs.filter(F.col("source") == "direct").orderBy(F.col("started_at").desc_nulls_last(), F.col("id")).limit(limit)
+    newest = runs.filter(F.col("source") == "direct")
+    if n is not None:
+        newest = newest.orderBy(F.col("started_at").desc_nulls_last(), F.col("id")).limit(max(n, 1))
     dim = details.withColumnRenamed("hash", "_detail_hash")
-    joined = join_dimension(newest, dim, ["id"], "left")
+    joined = newest.join(dim, ["id"], "left")
     return (
         joined.withColumn("status", F.coalesce("status", F.lit("unknown")))
         .withColumn("hash", F.coalesce("_detail_hash", "hash"))

@@ -1,51 +1,36 @@
-"""Joins that stay sound when one key holds a large share of the rows."""
+"""Lookups of a dimension from fact rows when one key may hold a large share of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_SALTS = 64
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate (plan time, no job); None when it is not reachable."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except AttributeError:
-        return None
 
-
-def broadcast_limit(df: DataFrame) -> int:
-    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    lowered = text.strip().lower()
-    scale = 1
-    for suffix, factor in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("b", 1)):
-        if lowered.endswith(suffix):
-            lowered, scale = lowered[: -len(suffix)], factor
-            break
-    return int(lowered) * scale
+def default_salt(df: DataFrame) -> int:
+    """One salt for eight shuffle partitions: enough to spread a key that holds a third of the rows."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(MOST_SALTS, partitions // 8))
 
 
 def join_dimension(
-    facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salt: int | None = None
+    facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salt: int | None = None, spread: tuple[str, ...] = ("seq",)
 ) -> DataFrame:
-    """Look up a dimension (one row per key) for a large fact table.
+    """Look up a dimension (one row per key) for a large fact table with hot keys.
 
-    A dimension under Spark's broadcast threshold goes to a plain join, which Spark turns into a
-    broadcast, so no fact row moves. A bigger one cannot be broadcast, and a plain shuffle would
-    send every row of a hot key to one task *and* let the aggregate behind the join reuse that
-    skewed layout. So each fact row gets one of `salt` numbers and each dimension row is repeated
-    once per number: a hot key is spread over `salt` tasks at the price of a few dimension copies.
+    A plain shuffle would send every row of a hot key to one task *and* let the aggregate behind the
+    join reuse that layout. So each fact row gets one of `salt` numbers from its `spread` columns,
+    which name a row (a chain position), and each dimension row is repeated once per number. `salt`
+    follows the shuffle partitions unless given; 1 is a plain join. Neither sizes nor other columns
+    change the plan. Lookups from few rows (boards, reports) are plain joins and don't come here.
     """
     if how not in ("inner", "left"):
         raise ValueError("join_dimension supports inner and left lookups")
-    if salt is None:
-        size = estimated_bytes(dim)
-        salt = 1 if size is not None and size <= broadcast_limit(dim) else 16
+    salt = default_salt(facts) if salt is None else salt
     if salt <= 1:
         return facts.join(dim, on, how)
     # From row content, never rand(): a recomputed task must place its rows the same way.
-    spread = ["seq"] if "seq" in facts.columns else [c for c in facts.columns if c not in on]
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return salted_facts.join(copies, [*on, "_salt"], how).drop("_salt")

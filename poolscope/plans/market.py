@@ -22,7 +22,6 @@ from poolscope.operators import rank as R
 from poolscope.operators import series as S
 from poolscope.operators.pools import attach_pools
 from poolscope.operators.select import select_by_fdv
-from poolscope.plans.joins import join_dimension
 from poolscope.sources.logs import window_columns
 
 BOARD_COLUMNS = [
@@ -47,16 +46,19 @@ class MarketTables:
 def native_rate(prices: DataFrame, pools: DataFrame, rate_pool: str = config.RATE_POOL, native: str = config.WBNB) -> DataFrame:
     """Native-coin price in dollars from one designated pool; its orientation comes from its own token0.
 
-    `prices` has the latest price per pool, `pools` the pair; the result has at most one row.
+    `prices` has the latest price per pool, or per window and pool, `pools` the pair. The result has
+    a row per window in which the pool traded (`MarketTables.rate` takes it as it is), without
+    windows one row; a price that is no positive number gives NULL, which is an unknown rate.
     """
+    keys = ["window_id"] if "window_id" in prices.columns else []
     pair = pools.filter(F.lower("pool") == rate_pool).select("pool", F.lower("token0").alias("_t0"))
     rate = M.native_rate_from_sqrt(F.col("sqrt_price"), F.col("_t0") == native)
-    return prices.filter(F.lower("pool") == rate_pool).join(pair, "pool").select("pool", rate.alias("rate"))
+    return prices.filter(F.lower("pool") == rate_pool).join(pair, "pool").select(*keys, "pool", rate.alias("rate"))
 
 
 def with_rate(df: DataFrame, rate: float | None | DataFrame) -> DataFrame:
     if isinstance(rate, DataFrame):
-        return join_dimension(df, rate.select("window_id", F.col("rate").cast("double").alias("_rate")), ["window_id"], "left")
+        return df.join(rate.select("window_id", F.col("rate").cast("double").alias("_rate")), ["window_id"], "left")
     return df.withColumn("_rate", F.lit(rate).cast("double"))
 
 
@@ -105,7 +107,7 @@ def score_samples(
 
 def with_fdv(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     dim = tokens.select("token", F.col("supply_value").alias("_supply"), F.col("decimals").alias("_decimals"))
-    found = join_dimension(rows, dim, ["token"], "left")
+    found = rows.join(dim, ["token"], "left")
     usd = M.anchor_usd_price(F.col("anchor_kind"), F.col("_rate"))
     fdv = M.fdv_usd(F.col("price"), F.col("_supply"), F.col("_decimals"), usd, config.ANCHOR_DECIMALS)
     return found.withColumn("fdv", fdv).drop("_supply", "_decimals")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from poolscope.functions.words import norm_addr
+
 RAW_LOG_SCHEMA = T.StructType(
     [
         T.StructField("topic0", T.StringType()),
@@ -36,13 +38,13 @@ def chain_order(block: Column, log_index: Column) -> Column:
 
 
 def write_logs(logs: DataFrame, path: str, blocks_per_part: int, mode: str = "errorifexists") -> None:
-    """Store raw logs partitioned by block range, with `topic0` as its own column for pushdown.
+    """Store raw logs partitioned by block range, with `topic0` and lower-case addresses for pushdown.
 
     Rows are range-partitioned by block inside a part, so a busy part is written by many tasks.
     """
     part = F.floor(F.col("block_number") / blocks_per_part).cast("bigint")
     topic0 = F.try_element_at(F.col("topics"), F.lit(1))
-    shaped = logs.withColumn("topic0", topic0).withColumn("block_part", part)
+    shaped = logs.withColumns({"topic0": topic0, "block_part": part, "address": norm_addr(F.col("address"))})
     (
         shaped.repartitionByRange("block_part", "block_number", "log_index")
         .sortWithinPartitions("block_part", "topic0", "address", "block_number")
@@ -61,14 +63,15 @@ def select_logs(
 ) -> DataFrame:
     """Keep one event type, optionally from given contracts and an inclusive block range.
 
-    Every test is a plain comparison on a top-level column where the table has one, so Parquet
-    skips row groups and, with `blocks_per_part`, whole directories.
+    On stored logs, which have a `topic0` column and lower-case addresses (see `write_logs`), every
+    test is a plain comparison on a column, so Parquet skips row groups and, with `blocks_per_part`,
+    whole directories. Raw logs without that column are compared in lower case.
     """
     has_topic0 = "topic0" in logs.columns
     out = logs.filter(F.col("topic0") == topic0 if has_topic0 else F.try_element_at("topics", F.lit(1)) == topic0)
     if addresses is not None:
         wanted = sorted({a.lower() for a in addresses})
-        out = out.filter(F.lower("address").isin(wanted))
+        out = out.filter((F.col("address") if has_topic0 else norm_addr(F.col("address"))).isin(wanted))
     if block_range is not None:
         lo, hi = block_range
         out = out.filter(F.col("block_number").between(lo, hi))

@@ -84,6 +84,10 @@ def swaps(spark: SparkSession, sf_dir: str, venue: str = "v3") -> DataFrame:
     )
 
 
+def pool_name(pool_id: int) -> str:
+    return "0xb0" + str(pool_id).rjust(38, "0")
+
+
 def pool_pairs(spark: SparkSession, venue: str = "v3") -> DataFrame:
     """Currency pairs of the pools: token T = pool_id div 2; the anchor rotates with T."""
     width, prefix = (38, "0xb0") if venue == "v3" else (64, "0x")

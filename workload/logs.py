@@ -9,6 +9,7 @@ from poolscope import config
 from poolscope.functions import words as W
 from poolscope.operators import decode as D
 from poolscope.sources import logs as L
+from poolscope.sources.state import shared_dir
 from workload import derive as d
 from workload.market import text
 from workload.registry import query
@@ -103,6 +104,7 @@ def exact_sum(spark, sf):
 
 
 _RANGE = (1_000_000, 3_000_000)
+_PART = 500_000
 
 
 @query(
@@ -112,10 +114,12 @@ _RANGE = (1_000_000, 3_000_000)
     FROM swaps WHERE block_number BETWEEN {_RANGE[0]} AND {_RANGE[1]} AND pool_id IN (0, 1, 2, 3) GROUP BY pool""",
 )
 def scan_range(spark, sf):
-    """Events of one kind, from given contracts, in an inclusive block range."""
+    """Events of one kind, from given contracts, in an inclusive block range, out of stored logs."""
     wanted = ["0xb0" + str(p).rjust(38, "0") for p in range(4)]
-    rows = L.select_logs(raw_logs(spark, sf), config.V3.swap_topic0, wanted, _RANGE)
-    return rows.groupBy(F.lower("address").alias("pool")).agg(
+    path = shared_dir(spark, "logs")
+    L.write_logs(raw_logs(spark, sf), path, _PART)
+    rows = L.read_logs(spark, path, config.V3.swap_topic0, wanted, _RANGE, _PART)
+    return rows.groupBy(F.col("address").alias("pool")).agg(
         F.count(F.lit(1)).alias("logs"),
         F.min("block_number").alias("first_block"),
         F.max("block_number").alias("last_block"),

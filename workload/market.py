@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,6 +167,28 @@ def board_v3(spark, sf):
     return shown(P.board_rows(d.swaps(spark, sf), tables(spark), d.CFG))
 
 
+# the board again, with each window's own rate from pool 2, whose first token is the native coin
+_RATES = """rates AS (
+  SELECT window_id, CASE WHEN p > 0 THEN (p / pow(2, 96)) * (p / pow(2, 96)) END AS rate,
+    CASE WHEN p > 0 THEN CAST(floor((p / pow(2, 96)) * (p / pow(2, 96)) * 1000000 + 0.5) AS HUGEINT) END AS scaled
+  FROM (SELECT window_id, arg_max(sqrt_price, seq) AS p FROM swaps WHERE pool_id = 2 GROUP BY window_id))"""
+RATE_BOARD_SQL = (
+    BOARD_SQL.replace("scored AS (\n  SELECT s.*,", f"{_RATES}, scored AS (\n  SELECT s.*, rates.rate, rates.scaled,")
+    .replace("FROM samples s JOIN folded f", "FROM samples s LEFT JOIN rates USING (window_id) JOIN folded f")
+    .replace("612500000", "scaled")
+    .replace("612.5", "rate")
+)
+
+
+@query("board_v3_rate", RATE_BOARD_SQL)
+def board_v3_rate(spark, sf):
+    swaps = d.swaps(spark, sf)
+    prices = A.last_value(swaps, ["window_id", "pool"], ["sqrt_price"])
+    pairs = d.pool_pairs(spark).select("pool", F.lit(config.WBNB).alias("token0"))
+    rates = P.native_rate(prices, pairs, rate_pool=d.pool_name(2))
+    return shown(P.board_rows(swaps, dataclasses.replace(tables(spark), rate=rates), d.CFG))
+
+
 @query("board_cl", CL_BOARD_SQL)
 def board_cl(spark, sf):
     return shown(P.board_rows(d.swaps(spark, sf, "cl"), tables(spark, "cl"), d.CFG, config.CL))

@@ -95,19 +95,17 @@ def series_price(spark, sf):
 
 @query(
     "native_rate",
-    f"""WITH {d.SQL_SWAPS}, l AS (SELECT window_id, pool, arg_max(sqrt_price, seq) AS p FROM swaps WHERE pool_id = 1 GROUP BY 1, 2)
-    SELECT window_id, CASE WHEN p > 0 THEN round(1.0 / ((p / pow(2, 96)) * (p / pow(2, 96))), 9) END AS rate FROM l""",
+    f"""WITH {d.SQL_SWAPS}, l AS (SELECT window_id, pool, pool_id, arg_max(sqrt_price, seq) AS p FROM swaps WHERE pool_id IN (1, 2) GROUP BY ALL)
+    SELECT window_id, pool, CASE WHEN p > 0 THEN round(CASE WHEN pool_id = 2 THEN (p / pow(2, 96)) * (p / pow(2, 96))
+      ELSE 1.0 / ((p / pow(2, 96)) * (p / pow(2, 96))) END, 9) END AS rate FROM l""",
 )
 def native_rate(spark, sf):
-    """Rate of each window from one designated pool whose token1 is the native coin."""
-    rate_pool = "0xb0" + "1".rjust(38, "0")
+    """Rate of each window from a designated pool: one with the native coin second, one with it first."""
     prices = A.last_value(d.swaps(spark, sf), ["window_id", "pool"], ["sqrt_price"])
-    pair = d.pool_pairs(spark).select("pool", F.lit(config.USDT).alias("token0"))
-    rates = P.native_rate(prices, pair, rate_pool=rate_pool)
-    keyed = prices.filter(F.col("pool") == rate_pool).select("window_id", "sqrt_price")
-    rate = M.native_rate_from_sqrt(F.col("sqrt_price"), F.lit(False))
-    assert rates.columns == ["pool", "rate"]
-    return keyed.select("window_id", F.round(rate, 9).alias("rate"))
+    first = F.when(F.col("pool_id") == 2, F.lit(config.WBNB)).otherwise(F.lit(config.USDT))
+    pairs = d.pool_pairs(spark).select("pool", first.alias("token0"))
+    rates = [P.native_rate(prices, pairs, rate_pool=d.pool_name(p)) for p in (1, 2)]
+    return rates[0].unionByName(rates[1]).select("window_id", "pool", F.round("rate", 9).alias("rate"))
 
 
 @query(
@@ -391,7 +389,7 @@ def holdings(spark, sf):
 @query(
     "list_positions",
     f"""WITH {_SQL_POS}, n AS (SELECT owner, token_id, row_number() OVER (PARTITION BY owner ORDER BY token_id) AS slot, liq = 0 AS empty FROM pos0)
-    SELECT owner, token_id, CAST(slot AS INTEGER) AS slot, empty FROM n WHERE slot <= 10""",
+    SELECT owner, token_id, CAST(slot AS INTEGER) AS slot, empty FROM n""",
 )
 def list_positions(spark, sf):
     return X.list_positions(positions(spark, sf)).select("owner", "token_id", "slot", "empty")
@@ -439,5 +437,5 @@ def trail(spark, sf):
         f"""CASE c_nationkey % 3 WHEN 0 THEN upper('{config.POSITION_MANAGER}') WHEN 1 THEN '{config.USDT}'
              ELSE {_TOK.format(p='70', n='c_custkey')} END AS contract""",
     )
-    rows = T.trail_labels(T.execution_trail(runs, details, 40))
+    rows = T.trail_labels(T.execution_trail(runs, details, T.MAX_TRAIL))
     return rows.select("id", "status_mark", "hash", "contract_label", "when_utc")
