@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: computed once, cut off from its lineage."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

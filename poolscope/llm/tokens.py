@@ -18,6 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_PIECES = 900_000
 CACHE_CHARS = 48
 _TWO_SPACES = re.compile(r"\s\s")
+# a full stop or comma next to another symbol may belong to a run of symbols, which is one piece
+_IN_SYMBOLS = re.compile(r"[^\s\w][.,]|[.,][^\s\w]|_[.,]|[.,]_")
 
 
 class PieceEncoder:
@@ -60,28 +62,36 @@ class PieceEncoder:
 class ByteLevelEncoder(PieceEncoder):
     """Byte-level BPE, where a space belongs to the word behind it.
 
-    A split before a single space or line end between two other characters is always safe. Texts with
-    runs of white space, or with white space at an end, are encoded as a whole.
+    A split before a single space or line end between two other characters is always safe, and so is
+    one before a full stop or comma that touches no other symbol. Texts with runs of white space, or
+    with white space at an end, are encoded as a whole. A zero byte marks keys without a space in front.
     """
 
     def pieces(self, text: str) -> list[str] | None:
-        if text[0].isspace() or text[-1].isspace() or _TWO_SPACES.search(text):
+        if text[0].isspace() or text[-1].isspace() or "\0" in text or _TWO_SPACES.search(text):
             return None
+        if not _IN_SYMBOLS.search(text):
+            text = text.replace(",", " \0,").replace(".", " \0.")
         keys = text.replace("\n", " \n").split(" ")
-        keys[0] = " " + keys[0]  # a key with a space in front stands for the bare text
+        if keys[0]:
+            keys[0] = "\0" + keys[0]
+        else:  # the text begins with a full stop or comma
+            del keys[0]
         return keys
 
     def text_of(self, key: str) -> str:
-        if key[0] == " ":
+        if key[0] == "\0":
             return key[1:]
         return key if key[0] == "\n" else " " + key
 
 
 class WordEncoder(PieceEncoder):
-    """BPE over words, where white space separates and is dropped."""
+    """BPE over lower-cased words, where white space separates and is dropped, and so do full stops and commas alone."""
 
     def pieces(self, text: str) -> list[bytes]:
-        return text.encode().split()
+        if not _IN_SYMBOLS.search(text):
+            text = text.replace(",", " , ").replace(".", " . ")
+        return text.encode().lower().split()
 
     def text_of(self, key: bytes) -> str:
         return key.decode()

@@ -38,7 +38,7 @@ def test_token_files_of_nothing(spark):
 def test_pieces_equal_whole_texts(kind, name):
     path = public_tokenizers.path(name)
     enc = kind(path)
-    texts = ["", " a", "a ", "a  b", "x.\nThe end's 've\n", "a b  c", "tab\tand\r\nline", "ÀÉ ß İI ǅ", "é ́x", "a\x1cb c\x1f d", "日本語 テキスト", "don't we're I'll", "\n\n \n x"]
+    texts = ["", " a", "a ", "a  b", "x.\nThe end's 've\n", "a b  c", "tab\tand\r\nline", "ÀÉ ß İI ǅ", "é ́x", "a\x1cb c\x1f d", "日本語 テキスト", "don't we're I'll", "\n\n \n x", ".", ", a", "a,b 3.14,x", "a., b", "of.&&& x,— y", "_., a_.b", "The END. The end,\nThe end.", "a\0.b", "x.\ny,\nz"]
     for _ in range(2):  # the second time from the cache
         for text, ids in zip(texts, enc.encode(texts), strict=True):
             assert np.frombuffer(ids, enc.dtype).tolist() == whole(path, text, 0)[:-1].tolist(), text
