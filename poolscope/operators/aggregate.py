@@ -229,7 +229,8 @@ def _last_word_limbs() -> list[Column]:
     cuts = (("_w2", 25, 14), ("_w1", 39, 13), ("_w0", 52, 13))
     word = F.col("sqrt_price_word")
     return [
-        F.max_by(F.conv(F.substring(word, start, size), 16, 10).cast("bigint"), "seq").alias(name)
+        # an absent price word is zero, as everywhere
+        F.max_by(F.when(word == "", F.lit(0)).otherwise(F.conv(F.substring(word, start, size), 16, 10).cast("bigint")), "seq").alias(name)
         for name, start, size in cuts
     ]
 

@@ -21,6 +21,11 @@ from poolscope.functions.rsi import rsi_label, rsi_value
 from poolscope.functions.words import WIDE
 
 
+def whole_sum(name: str) -> Column:
+    """Sum of a wide amount that is NULL if a part is unknown or the total leaves 38 digits, never smaller."""
+    return F.when(F.count(name) == F.count(F.lit(1)), F.try_sum(name))
+
+
 def bucketize(df: DataFrame, blocks_per_bucket: int = 667, block: str = "last_block") -> DataFrame:
     """A sample belongs to the bucket of the pool's last trade in its window."""
     return df.withColumn("bucket", F.floor(F.col(block) / blocks_per_bucket).cast("bigint"))
@@ -40,7 +45,7 @@ def samples(aggregates: DataFrame, blocks_per_bucket: int = 667) -> DataFrame:
 def bucket_volume(sample_rows: DataFrame) -> DataFrame:
     """Volume and credited blocks per (pool, bucket)."""
     return sample_rows.groupBy("pool", "bucket").agg(
-        F.sum("volume_anchor").alias("volume"),
+        whole_sum("volume_anchor").alias("volume"),
         F.sum("window_blocks").alias("blocks"),
         F.count(F.lit(1)).alias("samples"),
     )
@@ -151,7 +156,7 @@ def volume_state(history: DataFrame, keep: int = 24) -> DataFrame:
         history.filter(~F.col("late"))
         .groupBy("pool", "bucket", "first_bucket", "pos")
         .agg(
-            F.sum("volume_anchor").cast(WIDE).alias("volume_anchor"),
+            whole_sum("volume_anchor").cast(WIDE).alias("volume_anchor"),
             F.sum("window_blocks").alias("window_blocks"),
             F.max("window_id").alias("window_id"),
             *_seen_order(history),

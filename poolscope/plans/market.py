@@ -119,11 +119,21 @@ def _label(board: Column) -> Column:
     return pick(board, {**config.BOARD_LABELS, config.CL_BOARD: config.CL_LABEL}, None)
 
 
+def denied_tokens(denied: DataFrame, cfg: config.BoardConfig) -> DataFrame:
+    """The denied addresses of a run: the table plus the settings' own, minus those they allow."""
+    tokens = denied.select(F.lower("token").alias("token"))
+    if cfg.deny_extra:
+        extra = denied.sparkSession.createDataFrame([(a.strip().lower(),) for a in cfg.deny_extra], "token string")
+        tokens = tokens.unionByName(extra)
+    allowed = [a.strip().lower() for a in cfg.deny_allow]
+    return tokens.filter(~F.col("token").isin(allowed)) if allowed else tokens
+
+
 def publish(
     scored: DataFrame, tables: MarketTables, cfg: config.BoardConfig, venue: config.VenueConfig = config.V3
 ) -> DataFrame:
     """Scored samples -> board rows: drop denied tokens, route, price, select, then enrich the chosen few."""
-    kept = B.drop_denied(scored, tables.denied) if cfg.deny_enabled else scored
+    kept = B.drop_denied(scored, denied_tokens(tables.denied, cfg)) if cfg.deny_enabled else scored
     if venue.routed:
         routed = B.route_boards(kept)
     else:

@@ -6,7 +6,6 @@ import __spark_entry__ as entry
 from check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"stream_board", "replay_idempotent"}  # covered by test_stream
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +20,6 @@ def test_query_matches_sql(spark, con, name):
     assert n > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0

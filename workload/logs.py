@@ -22,7 +22,7 @@ def _word(expr: str) -> str:
     return f"concat(repeat(CASE WHEN {expr} < 0 THEN 'f' ELSE '0' END, 48), lpad(lower(hex({expr})), 16, '0'))"
 
 
-def raw_logs(spark, sf, venue: str = "v3", wide_cl: bool = False) -> DataFrame:
+def raw_logs(spark, sf, venue: str = "v3", wide_cl: bool = False, wide: bool = True) -> DataFrame:
     """Swap logs as a node returns them, with the awkward ones left in.
 
     Some logs lack a topic, some data fields stop after two words, some first amounts are 128 bits
@@ -37,6 +37,8 @@ def raw_logs(spark, sf, venue: str = "v3", wide_cl: bool = False) -> DataFrame:
     trader = "concat(repeat('0', 24), '7a', lpad(CAST(user_id AS string), 38, '0'))"
     sqrt = "lpad(concat(lower(hex(price_milli)), repeat('0', 22)), 64, '0')"
     word0 = f"CASE WHEN seq % 7 = 3 THEN concat(substr({_word('a0')}, 33), repeat('0', 32)) ELSE {_word('a0')} END"
+    if not wide:
+        word0 = _word("a0")
     if venue == "v3":
         address = "concat(CASE WHEN seq % 2 = 0 THEN '0xB0' ELSE '0xb0' END, lpad(CAST(pool_id AS string), 38, '0'))"
         topics = f"array('{cfg.swap_topic0}', concat('0x', {trader}), concat('0x', upper({trader})))"
