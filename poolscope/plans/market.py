@@ -129,6 +129,16 @@ def denied_tokens(denied: DataFrame, cfg: config.BoardConfig) -> DataFrame:
     return tokens.filter(~F.col("token").isin(allowed)) if allowed else tokens
 
 
+def publishable_pools(tables: MarketTables, cfg: config.BoardConfig, venue: config.VenueConfig = config.V3) -> DataFrame:
+    """Pools whose token is not denied and whose anchor has a board.
+
+    The others, among them the busiest pairs, then never reach the aggregates and windows;
+    `run_metrics` over all pools' counts tells how many there are.
+    """
+    pools = B.drop_denied(tables.pools, denied_tokens(tables.denied, cfg)) if cfg.deny_enabled else tables.pools
+    return B.route_boards(pools).drop("board") if venue.routed else pools
+
+
 def publish(
     scored: DataFrame, tables: MarketTables, cfg: config.BoardConfig, venue: config.VenueConfig = config.V3
 ) -> DataFrame:
@@ -165,5 +175,5 @@ def board_rows(
 ) -> DataFrame:
     """The whole plan for swaps that carry a window_id (see `assign_windows`)."""
     cfg = cfg or config.BoardConfig()
-    sample_rows = pool_samples(swaps, tables.pools, cfg, venue, windows)
+    sample_rows = pool_samples(swaps, publishable_pools(tables, cfg, venue), cfg, venue, windows)
     return publish(score_samples(sample_rows, cfg, tables.rate), tables, cfg, venue)
