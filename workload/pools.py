@@ -265,3 +265,24 @@ def asof_price(spark, sf):
 )
 def last_price(spark, sf):
     return A.last_value(d.swaps(spark, sf), ["window_id", "pool"], ["sqrt_price", "block_number"])
+
+
+@query(
+    "reference_tables",
+    f"""WITH {d.SQL_SWAPS}, {d.SQL_POOLS},
+    spaced AS (SELECT p.*, CASE fee_pips WHEN 100 THEN 1 WHEN 500 THEN 10 WHEN 2500 THEN 50 ELSE 200 END AS spacing FROM pools p)
+    SELECT CASE board WHEN 'wbnb' THEN 'PancakeSwap v3 (WBNB pairs)' WHEN 'usdt' THEN 'PancakeSwap v3 (USDT pairs)' END AS label,
+      CAST(CASE board WHEN 'wbnb' THEN 1 WHEN 'usdt' THEN 2 END AS INTEGER) AS board_order, anchor_kind, CAST(spacing AS INTEGER) AS spacing,
+      CASE WHEN anchor = '{config.NATIVE_COIN}' THEN NULL ELSE 18 END AS anchor_decimals, count(*) AS swaps
+    FROM swaps JOIN spaced USING (pool_id) GROUP BY ALL""",
+)
+def reference_tables(spark, sf):
+    """Swaps per board, anchor kind and tick spacing, by joins with the reference tables."""
+    from poolscope.operators.pools import is_anchor
+    from poolscope.sources import reference as R
+
+    pairs = d.pools(spark).filter(is_anchor(F.col("anchor"))).drop("anchor_kind")
+    known = pairs.join(R.anchors_df(spark), "anchor").join(R.boards_df(spark), "anchor", "left").join(R.tick_spacing_df(spark), "fee_pips")
+    alias = R.token_alias_df(spark).select(F.col("token").alias("anchor"), F.col("decimals").alias("anchor_decimals"))
+    rows = d.swaps(spark, sf).join(known.join(alias, "anchor", "left"), "pool")
+    return rows.groupBy("label", "board_order", "anchor_kind", "spacing", "anchor_decimals").agg(F.count(F.lit(1)).alias("swaps"))
