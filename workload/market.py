@@ -522,14 +522,71 @@ def run_metrics(spark, sf):
 # --- reports ---
 
 
-@query("board_report")
+def _fixed(x: str, places: int) -> str:
+    return f"CAST(CAST(CAST({x} AS DECIMAL(38,{max(places + 6, 8)})) AS DECIMAL(38,{places})) AS VARCHAR)"
+
+
+def _abbreviated(x: str, tiers: tuple, otherwise: str) -> str:
+    steps = " ".join(f"WHEN {x} >= {size} THEN '$' || {_fixed(f'{x} / {size}', 1)} || '{unit}'" for size, unit in tiers)
+    return f"CASE {steps} ELSE {otherwise} END"
+
+
+def _amount(x: str) -> str:
+    v = f"CAST({x} AS HUGEINT)"
+    return f"""CASE WHEN {x} IS NULL THEN '—' ELSE '$' || format('{{:,}}', {v} // 1000000000000000000) || '.'
+      || substr(lpad(CAST({v} % 1000000000000000000 AS VARCHAR), 18, '0'), 1, 2) END"""
+
+
+def _short_amount(x: str) -> str:
+    v = f"(CAST({x} AS DOUBLE) / 1e18)"
+    small = f"CASE WHEN {v} < 0.01 THEN '<$0.01' ELSE '$' || {_fixed(v, 2)} END"
+    return f"CASE WHEN {x} IS NULL THEN '—' WHEN {v} = 0 THEN '$0' ELSE {_abbreviated(v, ((1e9, 'B'), (1e6, 'M'), (1e3, 'K')), small)} END"
+
+
+_SHORT = "CASE WHEN length(token) > 12 THEN substr(token, 1, 6) || '…' || right(token, 4) ELSE token END"
+_LIGHT = "CASE risk WHEN 'clean' THEN '🟢' WHEN 'caution' THEN '🟡' WHEN 'high' THEN '🔴' WHEN 'unknown' THEN '⬜' END"
+_MARK = "CASE WHEN verified THEN '✅' ELSE '⚠️' END"
+_MEDAL = "CASE group_pos WHEN 1 THEN '🥇' WHEN 2 THEN '🥈' WHEN 3 THEN '🥉' ELSE group_pos || '.' END"
+_RSI = """CASE WHEN rsi IS NULL THEN 'RSI —' ELSE 'RSI ' || rsi
+  || CASE rsi_label WHEN 'oversold' THEN ' 🟢 Oversold' WHEN 'overbought' THEN ' 🔴 Overbought' ELSE '' END END"""
+_CAP = f"""CASE WHEN market_cap_usd IS NULL THEN 'MC —' WHEN market_cap_usd < 1 THEN 'MC <$1'
+  ELSE 'MC ' || {_abbreviated('market_cap_usd', ((1e12, 'T'), (1e9, 'B'), (1e6, 'M'), (1e3, 'K')), "'$' || " + _fixed('market_cap_usd', 0))} END"""
+_LABEL = "CASE board WHEN 'wbnb' THEN 'PancakeSwap v3 (WBNB pairs)' WHEN 'usdt' THEN 'PancakeSwap v3 (USDT pairs)' ELSE 'PancakeSwap Infinity' END"
+_SAFE = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+# three short rows always fit a message, so nothing is left out here (`fit_rows` has a query of its own)
+_unrounded = lambda sql: sql.replace("round(cap, 2) AS", "cap AS").replace("round(spike, 6) AS", "spike AS")
+REPORT_SQL = f"""WITH b AS ({_unrounded(BOARD_SQL)}), lines AS (
+  SELECT *, CASE WHEN variant = 'danger' THEN '⚠️ <b>Danger Zone — ' || {_SAFE.format(_LABEL)} || '</b>'
+      WHEN board = 'wbnb' THEN '{B.HTML_TITLES["wbnb"]}' ELSE '{B.HTML_TITLES["usdt"]}' END || chr(10) || '<i>blocks '
+      || format('{{:,}}', from_block) || '–' || format('{{:,}}', to_block) || '</i>' || chr(10) || chr(10) AS head,
+    {_MEDAL} || ' <b>' || {_SAFE.format('symbol')} || '</b>' || CASE WHEN verified IS NULL THEN '' ELSE ' ' || {_MARK} || coalesce({_LIGHT}, '⬜') END
+      || coalesce(' (' || fee_tier || ')', '') || ' · ' || {_RSI} || ' · ' || replace({_CAP}, 'MC <', 'MC &lt;') || chr(10)
+      || '    ' || {_amount('volume_usd')} || ' vol · ' || swaps || ' swaps · ' || traders || ' traders · ' || {_amount('fees_usd')} || ' fees' || chr(10)
+      || '    ↳ <a href="{config.EXPLORER_TOKEN_URL}' || token || '">' || {_SHORT} || '</a>' AS line
+  FROM b)
+SELECT window_id, board, variant, count(*) AS rows, head || string_agg(line, chr(10) || chr(10) ORDER BY group_pos) AS message
+FROM lines GROUP BY window_id, board, variant, head"""
+PLAIN_REPORT_SQL = f"""WITH b AS ({_unrounded(CL_BOARD_SQL)}), lines AS (
+  SELECT *, CASE WHEN variant = 'danger' THEN '⚠️  Danger Zone — ' ELSE '📈 ' END || {_LABEL} || '  (blocks ' || from_block || '–' || to_block || ')' || chr(10) AS head,
+    {_MEDAL} || ' ' || symbol || CASE WHEN verified IS NULL THEN coalesce(' ' || {_LIGHT}, '') ELSE ' ' || {_MARK} || coalesce({_LIGHT}, '') END
+      || coalesce(' (' || fee_tier || ')', '') || ' ' || CASE WHEN spike IS NULL THEN '(warming)' WHEN spike >= 10 THEN {_fixed('spike', 0)} || 'x' ELSE {_fixed('spike', 1)} || 'x' END
+      || ' · ' || {_RSI} || ' · ' || {_CAP} || chr(10)
+      || '    ' || {_short_amount('volume_usd')} || ' vol · ' || swaps || ' swaps · ' || traders || ' traders · ' || {_short_amount('fees_usd')} || ' fees' || chr(10)
+      || '    ↳ ' || {_SHORT} AS line
+  FROM b)
+SELECT window_id, board, variant, count(*) AS rows, head || string_agg(line, chr(10) ORDER BY group_pos) AS message
+FROM lines GROUP BY window_id, board, variant, head"""
+
+
+@query("board_report", REPORT_SQL)
 def board_report(spark, sf):
     """Finished HTML messages of every board and window."""
     rows = P.board_rows(d.swaps(spark, sf), tables(spark), d.CFG)
     return B.board_report(rows, ["window_id", "board", "variant"])
 
 
-@query("board_report_plain")
+@query("board_report_plain", PLAIN_REPORT_SQL)
 def board_report_plain(spark, sf):
     rows = P.board_rows(d.swaps(spark, sf, "cl"), tables(spark, "cl"), d.CFG, config.CL)
     return B.board_report(rows, ["window_id", "board", "variant"], html=False)
