@@ -347,21 +347,21 @@ def keep_recent(spark, sf):
 
 
 def price_series(spark, sf) -> DataFrame:
-    """The latest 31 order totals of each customer, oldest first."""
+    """All order totals of each customer, newest first in stretches of 31, each stretch oldest first."""
     orders = d.table(spark, sf, "orders")
     newest = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    kept = orders.withColumn("n", F.row_number().over(newest)).filter("n <= 31")
-    rows = kept.groupBy("o_custkey").agg(
+    kept = orders.withColumn("n", F.row_number().over(newest)).withColumn("stretch", F.expr("CAST((n - 1) div 31 AS bigint)"))
+    rows = kept.groupBy("o_custkey", "stretch").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("o_totalprice").alias("p")))).alias("e")
     )
-    return rows.select("o_custkey", F.transform("e", lambda x: x["p"]).alias("series"))
+    return rows.select("o_custkey", "stretch", F.transform("e", lambda x: x["p"]).alias("series"))
 
 
 _SQL_SERIES = """numbered AS (SELECT o_custkey, o_totalprice AS p,
       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders),
-    series AS (SELECT o_custkey, list(p ORDER BY n DESC) AS s FROM numbered WHERE n <= 31 GROUP BY o_custkey),
-    deltas AS (SELECT o_custkey, s, [s[i + 1] - s[i] for i in range(1, len(s))] AS d FROM series),
-    averages AS (SELECT o_custkey, s, CASE WHEN len(s) >= 6 THEN list_reduce(d[6:], lambda a, x:
+    series AS (SELECT o_custkey, CAST((n - 1) // 31 AS BIGINT) AS stretch, list(p ORDER BY n DESC) AS s FROM numbered GROUP BY ALL),
+    deltas AS (SELECT o_custkey, stretch, s, [s[i + 1] - s[i] for i in range(1, len(s))] AS d FROM series),
+    averages AS (SELECT o_custkey, stretch, s, CASE WHEN len(s) >= 6 THEN list_reduce(d[6:], lambda a, x:
         {'g': (a.g * 4 + greatest(x, 0)) / 5, 'l': (a.l * 4 + greatest(-x, 0)) / 5},
         {'g': list_sum([greatest(x, 0) for x in d[:5]]) / 5, 'l': list_sum([greatest(-x, 0) for x in d[:5]]) / 5}) END AS av
       FROM deltas)"""
@@ -369,13 +369,13 @@ _SQL_SERIES = """numbered AS (SELECT o_custkey, o_totalprice AS p,
 
 @query(
     "rsi",
-    f"""WITH {_SQL_SERIES} SELECT o_custkey, CASE WHEN len(s) < 6 THEN 50.0::DOUBLE WHEN av.l = 0 THEN 100.0::DOUBLE
+    f"""WITH {_SQL_SERIES} SELECT o_custkey, stretch, CASE WHEN len(s) < 6 THEN 50.0::DOUBLE WHEN av.l = 0 THEN 100.0::DOUBLE
       ELSE round(100 - 100 / (1 + av.g / av.l), 6) END AS rsi FROM averages""",
 )
 def rsi(spark, sf):
     """Wilder RSI with a period of 5, so that short and long series both occur."""
     rows = price_series(spark, sf)
-    return rows.select("o_custkey", F.round(wilder_rsi(F.col("series"), 5), 6).alias("rsi"))
+    return rows.select("o_custkey", "stretch", F.round(wilder_rsi(F.col("series"), 5), 6).alias("rsi"))
 
 
 @query(

@@ -125,9 +125,9 @@ _NOW = 1_000_000_000
 
 
 def _stored(spark, sf):
-    """A dimension of parts: some fresh, some stale, some rejected; a part of the keys is unknown."""
-    return d.table(spark, sf, "part").filter("p_size <= 40").selectExpr(
-        "p_partkey AS k",
+    """A dimension of parts: some fresh, some stale, some rejected; large parts are stored under keys nobody asks for."""
+    return d.table(spark, sf, "part").selectExpr(
+        "CASE WHEN p_size <= 40 THEN p_partkey ELSE -p_partkey END AS k",
         "CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'ok' END AS status",
         "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS brand",
         f"CAST({_NOW} - p_size * 1000000 AS bigint) AS checked_at",
@@ -147,19 +147,19 @@ def keys_to_refresh(spark, sf):
 
 @query(
     "merge_lookup",
-    f"""WITH dim AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'ok' END AS status,
+    f"""WITH dim AS (SELECT CASE WHEN p_size <= 40 THEN p_partkey ELSE -p_partkey END AS k, CASE WHEN p_partkey % 3 = 0 THEN 'rejected' ELSE 'ok' END AS status,
       CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS brand, {_NOW} - p_size * 1000000 AS checked_at
-      FROM part WHERE p_size <= 40),
-    ans AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'rejected' ELSE 'ok' END AS st,
-      CASE WHEN p_partkey % 4 >= 2 THEN p_type END AS brand FROM part WHERE p_size > 10)
+      FROM part),
+    ans AS (SELECT p_partkey AS k, CASE WHEN p_size > 10 THEN CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'rejected' ELSE 'ok' END END AS st,
+      CASE WHEN p_partkey % 4 >= 2 THEN p_type END AS brand FROM part)
     SELECT coalesce(d.k, a.k) AS k, coalesce(a.st, d.status) AS status, CASE WHEN a.st IS NULL THEN d.brand ELSE a.brand END AS brand,
       CAST(CASE WHEN a.st IS NULL THEN d.checked_at ELSE {_NOW} END AS BIGINT) AS checked_at
     FROM dim d FULL JOIN (SELECT * FROM ans WHERE st IS NOT NULL) a USING (k)""",
 )
 def merge_lookup(spark, sf):
-    answers = d.table(spark, sf, "part").filter("p_size > 10").selectExpr(
+    answers = d.table(spark, sf, "part").selectExpr(
         "p_partkey AS k",
-        "CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'rejected' ELSE 'ok' END AS status",
+        "CASE WHEN p_size > 10 THEN CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'rejected' ELSE 'ok' END END AS status",
         "CASE WHEN p_partkey % 4 >= 2 THEN p_type END AS brand",
     )
     return D.merge_lookup(_stored(spark, sf), answers, "k", _NOW)
@@ -195,8 +195,8 @@ def build_tokens(spark, sf):
 )
 def hydrate(spark, sf):
     """Symbols and decimals of a token column: aliases, then the token table, then a short address."""
-    tokens = d.table(spark, sf, "supplier").filter("s_acctbal >= 2000").selectExpr(
-        "concat('0x71', lpad(CAST(s_suppkey AS string), 38, '0')) AS token",
+    tokens = d.table(spark, sf, "supplier").selectExpr(
+        "concat(CASE WHEN s_acctbal >= 2000 THEN '0x71' ELSE '0x72' END, lpad(CAST(s_suppkey AS string), 38, '0')) AS token",
         "CASE WHEN s_suppkey % 4 = 0 THEN concat('S', CAST(s_suppkey AS string)) ELSE '' END AS symbol",
         "CAST(s_suppkey % 19 AS int) AS decimals",
     )
@@ -241,8 +241,8 @@ def approval_gap(spark, sf):
         "o_orderkey AS id", "o_custkey AS owner", "'t' AS token",
         "CAST(CAST(round(o_totalprice / 10) AS bigint) * (o_orderkey % 3) AS decimal(38,0)) AS amount",
     )
-    allowances = d.table(spark, sf, "customer").filter("c_mktsegment <> 'MACHINERY'").selectExpr(
-        "c_custkey AS owner", "'t' AS token", "CAST(CAST(round(c_acctbal * 10) AS bigint) AS decimal(38,0)) AS allowance"
+    allowances = d.table(spark, sf, "customer").selectExpr(
+        "c_custkey AS owner", "CASE WHEN c_mktsegment <> 'MACHINERY' THEN 't' ELSE 'other' END AS token", "CAST(CAST(round(c_acctbal * 10) AS bigint) AS decimal(38,0)) AS allowance"
     )
     return X.approval_gap(requests, allowances).select("id", "owner", *text("amount", "allowance"))
 

@@ -291,18 +291,18 @@ def plan_one_sided(spark, sf):
 
 
 def registry(spark, sf):
-    """One registered pool per part and fee tier; cheap parts have none, and some are zero."""
-    return d.table(spark, sf, "part").filter("p_retailprice >= 950").selectExpr(
+    """One registered pool per part and fee tier; that of cheap parts has another pair, and some are zero."""
+    return d.table(spark, sf, "part").selectExpr(
         f"{_TOK.format(p='70', n='p_partkey')} AS token0",
-        f"'{config.USDT}x' AS token1",
+        f"CASE WHEN p_retailprice >= 950 THEN '{config.USDT}x' ELSE 'other' END AS token1",
         "CAST(element_at(array(100, 500, 2500, 10000), CAST(p_partkey % 4 + 1 AS int)) AS int) AS fee_pips",
         f"CASE WHEN p_size = 1 THEN '{config.ZERO_ADDRESS}' ELSE {_TOK.format(p='B0', n='p_partkey')} END AS pool",
     )
 
 
 def registry_prices(spark, sf):
-    return d.table(spark, sf, "part").filter("p_size < 45").selectExpr(
-        f"{_TOK.format(p='b0', n='p_partkey')} AS pool",
+    return d.table(spark, sf, "part").selectExpr(
+        f"CASE WHEN p_size < 45 THEN {_TOK.format(p='b0', n='p_partkey')} ELSE {_TOK.format(p='b1', n='p_partkey')} END AS pool",
         f"(1000 + p_partkey % 977) * {d.Q88}D AS sqrt_price",
         "CAST(p_partkey * 3 - 500 AS int) AS tick",
     )
@@ -439,9 +439,9 @@ def trail(spark, sf):
         "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS started_at", "concat('list', CAST(o_orderkey AS string)) AS hash",
     )
     details = d.table(spark, sf, "orders").join(
-        d.table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey")
+        d.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
     ).selectExpr(
-        "o_orderkey AS id", "concat('detail', CAST(o_orderkey AS string)) AS hash",
+        "CASE WHEN c_mktsegment <> 'BUILDING' THEN o_orderkey ELSE -o_orderkey END AS id", "concat('detail', CAST(o_orderkey AS string)) AS hash",
         f"""CASE c_nationkey % 3 WHEN 0 THEN upper('{config.POSITION_MANAGER}') WHEN 1 THEN '{config.USDT}'
              ELSE {_TOK.format(p='70', n='c_custkey')} END AS contract""",
     )
