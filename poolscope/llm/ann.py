@@ -33,7 +33,7 @@ K = 10
 SAMPLE = 16_000
 MOST_LISTS = 1_024
 ROUNDS = 8
-PROBES = 24
+PROBES, PROBE_SHARE = 24, 0.7
 EPSILON = 2.1
 COLUMNS = 16
 CHUNK = 512
@@ -143,10 +143,11 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, most_lists: int = MOST
     return Index(placed, bytes(model.model), sizes)
 
 
-def search_index(index: Index, queries: DataFrame, k: int = K, probes: int = PROBES) -> DataFrame:
+def search_index(index: Index, queries: DataFrame, k: int = K, probes: int = PROBES, share: float = PROBE_SHARE) -> DataFrame:
     """query_id, rank, vec_id, score for queries (query_id, embedding).
 
-    A query probes `probes` lists, or more where those hold fewer than 8 k rows.
+    A query probes `probes` lists or that share of all lists, whichever is more, and further ones where
+    those hold fewer than 8 k rows. Vectors without clusters need a large share; clustered ones a small one.
     """
     spark = queries.sparkSession
     if not index.sizes:
@@ -157,12 +158,13 @@ def search_index(index: Index, queries: DataFrame, k: int = K, probes: int = PRO
         model, sizes = shared.value
         centres = pickle.loads(model)[0]
         rows_in = np.array([sizes.get(i, 0) for i in range(len(centres))])
+        most = max(probes, int(np.ceil(share * len(centres))))
         for b in batches:
             at, points = matrices(b.column(1)).get(centres.shape[1], (np.empty(0, int), None))
             for i in range(0, len(at), 256):
                 order = nearest(points[i : i + 256], centres, len(centres))
                 held = np.cumsum(rows_in[order], axis=1) - rows_in[order]
-                probed = ((np.arange(len(centres)) < probes) | (held <= 8 * k)) & (rows_in[order] > 0)
+                probed = ((np.arange(len(centres)) < most) | (held <= 8 * k)) & (rows_in[order] > 0)
                 row, place = np.nonzero(probed)
                 nth = np.cumsum(probed, axis=1)[row, place] - 1
                 kept = b.take(pa.array(at[i : i + 256][row]))
@@ -202,8 +204,8 @@ def search_index(index: Index, queries: DataFrame, k: int = K, probes: int = PRO
     return best(first.unionByName(scanned(rest)), k, F.col("score"))
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = K, probes: int = PROBES) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = K, probes: int = PROBES, share: float = PROBE_SHARE) -> DataFrame:
     """For every row whose id is divisible by `every`, its k nearest other rows found."""
     index = build_index(vectors)
     queries = index.rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return search_index(index, queries, k, probes)
+    return search_index(index, queries, k, probes, share)

@@ -90,6 +90,23 @@ def test_ann_recall_and_scores(spark):
     assert hits >= 0.9 * 300
 
 
+def test_ann_recall_on_the_given_vectors(spark):
+    """Against brute force, over a table large enough that lists are left out."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in vectors.collect()]
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    found = {}
+    for r in ann.nearest_neighbours(vectors).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hits += len(found[ids[q]] & set(ids[np.lexsort((ids, dist))[:10]].tolist()))
+        total += 10
+    assert hits >= 0.9 * total
+
+
 def test_ann_hard_rows(spark):
     rows = vectors(400)
     got = ann.nearest_neighbours(table(spark, rows)).collect()
