@@ -62,21 +62,16 @@ class PieceEncoder:
 class ByteLevelEncoder(PieceEncoder):
     """Byte-level BPE, where a space belongs to the word behind it.
 
-    A split before a single space or line end between two other characters is always safe, and so is
-    one before a full stop or comma that touches no other symbol. Texts with runs of white space, or
-    with white space at an end, are encoded as a whole. A zero byte marks keys without a space in front.
+    A split before a single space or line end between two other characters is always safe. Texts with
+    runs of white space, or with white space at an end, are encoded as a whole. A zero byte marks the
+    first piece, which has no space in front.
     """
 
     def pieces(self, text: str) -> list[str] | None:
         if text[0].isspace() or text[-1].isspace() or "\0" in text or _TWO_SPACES.search(text):
             return None
-        if not _IN_SYMBOLS.search(text):
-            text = text.replace(",", " \0,").replace(".", " \0.")
         keys = text.replace("\n", " \n").split(" ")
-        if keys[0]:
-            keys[0] = "\0" + keys[0]
-        else:  # the text begins with a full stop or comma
-            del keys[0]
+        keys[0] = "\0" + keys[0]
         return keys
 
     def text_of(self, key: str) -> str:
