@@ -73,13 +73,13 @@ def curve_points(ids: list[np.ndarray], seed: int = SEED) -> np.ndarray:
     return np.clip((1 / (1 + np.exp(-1.7 * flat))) * (1 << CURVE_BITS), 0, (1 << CURVE_BITS) - 1).astype(np.int64)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, added: bool = False) -> DataFrame:
     """doc_id, ids (bytes, `width` each), n_tokens, curve (Hilbert key), tie (a hash that spreads equal keys)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from poolscope.llm.tokens import WordEncoder, encoder
 
-        enc = encoder(WordEncoder, tokenizer)
+        enc = encoder(WordEncoder, tokenizer, added)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -161,9 +161,9 @@ def cut_pieces(laid: DataFrame, length: int = LENGTH, with_ids: bool = True) ->
     return laid.mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
-    """Pieces of all documents in packed sequences of `length` ids."""
-    encoded = written(encode_documents(docs, tokenizer, end_id), "pack-ids")
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = True, added: bool = False) -> DataFrame:
+    """Pieces of all documents in packed sequences of `length` ids; `added` as in `write_token_files`."""
+    encoded = written(encode_documents(docs, tokenizer, end_id, added), "pack-ids")
     return cut_pieces(lay_out(encoded), length, with_ids)
 
 

@@ -54,7 +54,7 @@ def op10_mix_sources(spark, sf_dir):
 def op1_token_files(spark, sf_dir):
     """Encode, write, and read back from the files."""
     docs = table(spark, sf_dir, "documents")
-    manifest = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    manifest = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True)
     return token_files.read_token_files(manifest)
 
 
@@ -68,7 +68,7 @@ def op7_shuffle_shards(spark, sf_dir):
 def op8_pack_curve(spark, sf_dir):
     """Where every piece of every document lies."""
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False, added=True)
     return pieces.drop("ids")
 
 

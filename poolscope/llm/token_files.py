@@ -37,8 +37,11 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
-    """Write the files of `docs` below `path` and return their manifest with each part's base."""
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, added: bool = False) -> DataFrame:
+    """Write the files of `docs` below `path` and return their manifest with each part's base.
+
+    With `added`, the content of an added token in a text becomes that token's id.
+    """
     spark = docs.sparkSession
     path = path or shared_dir(spark, "token-files")
 
@@ -47,7 +50,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
 
         from poolscope.llm.tokens import ByteLevelEncoder, encoder
 
-        enc, task = encoder(ByteLevelEncoder, tokenizer), TaskContext.get()
+        enc, task = encoder(ByteLevelEncoder, tokenizer, added), TaskContext.get()
         end = np.array([end_id], enc.dtype).tobytes()
         store, root = _store(path)
         store.create_dir(root, recursive=True)

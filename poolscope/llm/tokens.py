@@ -2,7 +2,8 @@
 
 Both tokenizers split a text before merging and never merge over a split. The pieces between safe
 splits repeat, so each worker encodes a piece once with the tokenizers library and looks it up
-afterwards. Results equal encoding the whole text. Special tokens' strings in a text are plain text.
+afterwards. Results equal encoding the whole text. The content of an added token in a text is plain text,
+or with `added` the token's own id, as the library has it by default; such texts are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ _IN_SYMBOLS = re.compile(r"[^\s\w][.,]|[.,][^\s\w]|_[.,]|[.,]_")
 class PieceEncoder:
     """Encodes texts to the bytes of their ids: little-endian, two bytes if the vocabulary allows, else four."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict = {}
 
-    def ids_of(self, texts: list[str]) -> list[bytes]:
+    def ids_of(self, texts: list[str], plain: bool = True) -> list[bytes]:
+        # pieces are plain: a piece in lower case may look like a token that the text does not hold
+        self.tokenizer.encode_special_tokens = plain
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
@@ -47,11 +50,12 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text has none. Once full, the cache stays as it is."""
-        keys = [self.pieces(t) if t else [] for t in texts]
+        marked = [any(m in t for m in self.marks) if t else False for t in texts]
+        keys = [None if m else self.pieces(t) if t else [] for t, m in zip(texts, marked, strict=True)]
         known = self.known
         new = list(set().union(*(k for k in keys if k)) - known.keys())
         known.update(zip(new, self.ids_of([self.text_of(k) for k in new]), strict=True))
-        out = [self.ids_of([t])[0] if k is None else b"".join([known[x] for x in k]) for t, k in zip(texts, keys, strict=True)]
+        out = [self.ids_of([t], plain=not m)[0] if k is None else b"".join([known[x] for x in k]) for t, k, m in zip(texts, keys, marked, strict=True)]
         room = CACHE_PIECES - len(known) + len(new)
         for i, k in enumerate(new):
             if i >= room or len(k) > CACHE_CHARS:
@@ -95,8 +99,8 @@ class WordEncoder(PieceEncoder):
 _ENCODERS: dict = {}
 
 
-def encoder(kind: type[PieceEncoder], path: str) -> PieceEncoder:
+def encoder(kind: type[PieceEncoder], path: str, added: bool = False) -> PieceEncoder:
     """One encoder per worker process, so that its cache outlives a task."""
-    if (kind, path) not in _ENCODERS:
-        _ENCODERS[kind, path] = kind(path)
-    return _ENCODERS[kind, path]
+    if (kind, path, added) not in _ENCODERS:
+        _ENCODERS[kind, path, added] = kind(path, added)
+    return _ENCODERS[kind, path, added]
