@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from poolscope.llm import ann, chat, exact_topk, language, mixing, packing, quality, sharding, simhash, token_files
+from poolscope.llm import ann, chat, exact_topk, language, line_rules, mixing, packing, quality, sharding, simhash, token_files
 from poolscope.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -124,3 +124,38 @@ def op3_exact_topk(spark, sf_dir):
 @query("op4_ann")
 def op4_ann(spark, sf_dir):
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+LINE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+cut AS (SELECT rid, place, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+               right(rtrim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS mark,
+               translate(line, '{line_rules.UPPER}', '{line_rules.LOWER}') AS small
+        FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM docs)),
+judged AS (SELECT rid, place, line, row_number() OVER (PARTITION BY rid, line ORDER BY place) AS seen,
+    mark NOT IN ({", ".join("chr(%d)" % ord(c) for c in line_rules.CLOSING)})
+    OR len(regexp_extract_all(line, '{line_rules.SYMBOL}')) * 10 > n
+    OR len(regexp_extract_all(line, '{line_rules.SHOUT}')) * 10 > n
+    OR len(regexp_extract_all(line, '{line_rules.SEPARATOR}')) * 4 > n
+    OR (n <= {line_rules.NOTICE_WORDS} AND (regexp_matches(small, '{line_rules.NAVIGATION}') OR regexp_matches(small, '{line_rules.BOILERPLATE}'))) AS fails
+  FROM cut WHERE n > 0),
+lines AS (SELECT rid, CAST(count(*) FILTER (seen > 1) AS BIGINT) AS n_dup_lines, CAST(sum(length(line)) AS BIGINT) AS line_chars,
+                 CAST(coalesce(sum(length(line)) FILTER (seen = 1 AND NOT fails), 0) AS BIGINT) AS kept_chars FROM judged GROUP BY rid),
+counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+       CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+       CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, coalesce(line_chars, 0) AS line_chars, coalesce(kept_chars, 0) AS kept_chars
+  FROM words LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (line_chars - kept_chars) * 100 <= line_chars * {line_rules.MAX_LOST} AS kept, line_chars, kept_chars
+FROM failed
+"""
+
+
+@query("op13_line_rules", LINE_SQL)
+def op13_line_rules(spark, sf_dir):
+    return line_rules.rule_digest(table(spark, sf_dir, "documents"))
