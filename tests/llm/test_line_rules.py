@@ -45,7 +45,7 @@ TEXTS = [
     "\n".join(f"Home | Menu {i} | Login | Search | Help | Contact" for i in range(40)),
     PAGE.replace(".", ""),
     PAGE.replace(" ", "$$$ "),
-    PAGE.replace(".", "!!").upper(),
+    PAGE.replace(" ", "!! ").upper(),
     PAGE + "\n" + "no full stop at all " * 12,
     "a b c " * 40,
     "a b c a b c d\na \n\x1c x\rhome\r\nHome",
