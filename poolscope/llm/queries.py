@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from poolscope.llm import ann, chat, exact_topk, language, line_rules, mixing, packing, quality, sharding, simhash, token_files
+from poolscope.llm import ann, chat, exact_topk, language, line_rules, merkle, mixing, packing, quality, sharding, simhash, token_files
 from poolscope.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -159,3 +160,74 @@ FROM failed
 @query("op13_line_rules", LINE_SQL)
 def op13_line_rules(spark, sf_dir):
     return line_rules.rule_digest(table(spark, sf_dir, "documents"))
+
+
+#: Unsigned crc32 of the ASCII text {0}: each byte is taken in, then eight steps (-1) of the reflected polynomial 0xEDB88320.
+CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length({0}) + 1),
+  lambda i: [CAST(ascii(substr({0}, CAST(i AS INTEGER), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, CAST(3988292384 AS BIGINT)) ELSE acc // 2 END),
+  CAST(4294967295 AS BIGINT))"""
+
+
+def _field(c: str) -> str:
+    text = f"CAST({c} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+         CASE WHEN n_chars IS NOT NULL AND {CRC_SQL.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS tampered
+  FROM documents),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM docs)),
+leaves AS (
+  SELECT d.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, row_number() OVER () AS rid
+  FROM docs d JOIN langs l ON d.lang IS NOT DISTINCT FROM l.lang),
+nodes(tree, lvl, place, digest) AS (
+  SELECT tree, 0, place, leaf FROM leaves
+  UNION ALL
+  SELECT tree, lvl + 1, place // 2, sha256(digest || coalesce(behind, ''))
+  FROM (SELECT *, lead(digest) OVER (PARTITION BY tree ORDER BY place) AS behind, count(*) OVER (PARTITION BY tree) AS n FROM nodes)
+  WHERE n > 1 AND place % 2 = 0),
+heights AS (SELECT tree, max(lvl) AS height FROM nodes GROUP BY tree),
+subroots AS (SELECT n.tree, n.digest AS subroot FROM nodes n JOIN heights h ON n.tree = h.tree AND n.lvl = h.height),
+upper(lvl, place, digest) AS (
+  SELECT 0, tree, subroot FROM subroots
+  UNION ALL
+  SELECT lvl + 1, place // 2, sha256(digest || coalesce(behind, ''))
+  FROM (SELECT *, lead(digest) OVER (ORDER BY place) AS behind, count(*) OVER () AS n FROM upper) WHERE n > 1 AND place % 2 = 0),
+top AS (SELECT max(lvl) AS height FROM upper),
+roots AS (SELECT digest AS root FROM upper, top WHERE lvl = height),
+steps AS (
+  SELECT rid, l.lvl AS k, CAST(floor(v.place / (2 ** l.lvl)) AS BIGINT) AS at, v.tree, FALSE AS high, l.lvl AS lvl
+  FROM leaves v JOIN heights h USING (tree), LATERAL (SELECT unnest(range(h.height)) AS lvl) l
+  UNION ALL
+  SELECT rid, h.height + l.lvl, CAST(floor(v.tree / (2 ** l.lvl)) AS BIGINT), v.tree, TRUE, l.lvl
+  FROM leaves v JOIN heights h USING (tree), top t, LATERAL (SELECT unnest(range(t.height)) AS lvl) l),
+path AS (
+  SELECT s.rid, s.k, s.at % 2 = 1 AS before, coalesce(n.digest, u.digest) AS sibling
+  FROM steps s LEFT JOIN nodes n ON NOT s.high AND n.tree = s.tree AND n.lvl = s.lvl AND n.place = xor(s.at, 1)
+               LEFT JOIN upper u ON s.high AND u.lvl = s.lvl AND u.place = xor(s.at, 1)),
+proofs AS (SELECT rid, string_agg(sibling, '' ORDER BY k) AS proof, CAST(count(sibling) AS INTEGER) AS siblings FROM path GROUP BY rid),
+folded(rid, k, node) AS (
+  SELECT rid, 0, tampered FROM leaves WHERE tampered IS NOT NULL
+  UNION ALL
+  SELECT f.rid, f.k + 1, sha256(CASE WHEN p.before THEN coalesce(p.sibling, '') || f.node ELSE f.node || coalesce(p.sibling, '') END)
+  FROM folded f JOIN path p ON p.rid = f.rid AND p.k = f.k),
+ends AS (SELECT rid, arg_max(node, k) AS node FROM folded GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, coalesce(e.node, root) AS folded_root,
+       coalesce(e.node, root) = root AS verified, coalesce(siblings, 0) AS siblings
+FROM leaves JOIN subroots USING (tree) JOIN roots ON TRUE LEFT JOIN proofs USING (rid) LEFT JOIN ends e USING (rid)
+"""
+
+
+@query("op11_merkle", MERKLE_SQL)
+def op11_merkle(spark, sf_dir):
+    """Prove every document; one in seven claims a character more than it has."""
+    docs = table(spark, sf_dir, "documents")
+    claimed = F.when(F.crc32(docs["doc_id"].cast("string")) % 7 == 0, docs["n_chars"].cast("decimal(20,0)") + 1)
+    return merkle.prove(merkle.build_manifest(docs, claimed))
