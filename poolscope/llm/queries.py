@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from poolscope.llm import ann, chat, exact_topk, language, line_rules, merkle, mixing, packing, quality, sharding, simhash, token_files
+from poolscope.llm import ann, chat, exact_topk, language, line_rules, merkle, mixing, packing, quality, repair, sharding, simhash, token_files
 from poolscope.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -231,3 +231,67 @@ def op11_merkle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     claimed = F.when(F.crc32(docs["doc_id"].cast("string")) % 7 == 0, docs["n_chars"].cast("decimal(20,0)") + 1)
     return merkle.prove(merkle.build_manifest(docs, claimed))
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, role, text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (SELECT *, {CRC_SQL.format("key")} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds),
+convs AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT cid, turn, role, text, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+  FROM damaged d JOIN convs c ON d.conv_id IS NOT DISTINCT FROM c.conv_id),
+faults AS (
+  SELECT *, shown = '' AS blank, shown <> '' AND row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 AS duplicate,
+         shown <> '' AND right(shown, 1) NOT IN ('.', '!', '?') AS unfinished, left(role, 1) AS initial,
+         lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) || left(role, 1) AS pair
+  FROM placed),
+counted AS (
+  SELECT cid, max(i) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (unfinished AND NOT duplicate) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY cid),
+ins(st, k, st2, said) AS (VALUES
+  ('O', '', 'O', ''), ('O', 'I', 'U', chr(10) || 'user:'), ('O', 'II', 'A', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('S', '', 'S', ''), ('S', 'I', 'U', chr(10) || 'user:'), ('S', 'II', 'A', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('U', '', 'U', ''), ('U', 'I', 'A', chr(10) || 'assistant:'), ('U', 'II', 'U', chr(10) || 'assistant:' || chr(10) || 'user:'),
+  ('A', '', 'A', ''), ('A', 'I', 'U', chr(10) || 'user:'), ('A', 'II', 'A', chr(10) || 'user:' || chr(10) || 'assistant:')),
+acts(st, act, initial, st2, said) AS (VALUES
+  ('O', 'K', 's', 'S', ''), ('O', 'K', 'u', 'U', ''), ('S', 'K', 'u', 'U', ''), ('U', 'K', 'a', 'A', ''), ('A', 'K', 'u', 'U', ''),
+  ('O', 'R', '', 'U', 'user'), ('S', 'R', '', 'U', 'user'), ('A', 'R', '', 'U', 'user'), ('U', 'R', '', 'A', 'assistant'),
+  ('O', 'D', '', 'O', ''), ('S', 'D', '', 'S', ''), ('U', 'D', '', 'U', ''), ('A', 'D', '', 'A', '')),
+moves AS (SELECT ins.st, ins.k || acts.act AS audit, 5 * length(ins.k) AS paid, acts.act, acts.initial, acts.st2, ins.said, acts.said AS role
+          FROM ins JOIN acts ON acts.st = ins.st2),
+dp(cid, i, st, cost, audit, said) AS (
+  SELECT cid, CAST(0 AS BIGINT), 'O', CAST(0 AS BIGINT), '', '' FROM convs
+  UNION ALL
+  SELECT cid, i, st, cost, audit, said
+  FROM (SELECT *, row_number() OVER (PARTITION BY cid, st ORDER BY cost, audit) AS best
+        FROM (SELECT d.cid, f.i, m.st2 AS st,
+                     CAST(d.cost + m.paid + CASE m.act WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END
+                          + CASE WHEN f.unfinished AND m.act <> 'D' THEN 5 ELSE 0 END AS BIGINT) AS cost,
+                     d.audit || m.audit AS audit,
+                     d.said || m.said || CASE m.act WHEN 'K' THEN chr(10) || f.role || ':' || f.text WHEN 'R' THEN chr(10) || m.role || ':' || f.text ELSE '' END AS said
+              FROM dp d JOIN faults f ON f.cid = d.cid AND f.i = d.i + 1
+              JOIN moves m ON m.st = d.st AND (m.act = 'D' OR NOT f.blank AND NOT f.duplicate) AND (m.act <> 'K' OR m.initial = f.initial)))
+  WHERE best = 1),
+ends AS (
+  SELECT d.cid, d.cost + 5 * length(k) AS cost, d.audit || k AS audit, d.said || ins.said AS said
+  FROM dp d JOIN ins ON ins.st = d.st AND ins.st2 IN ('O', 'A') LEFT JOIN counted c ON c.cid = d.cid WHERE d.i = coalesce(c.n, 0)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY cost, audit) AS rank FROM ends) WHERE rank = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(substr(said, 2)) AS repaired_sha256
+FROM convs JOIN best USING (cid) LEFT JOIN counted USING (cid)
+"""
+
+
+@query("op12_repair", REPAIR_SQL)
+def op12_repair(spark, sf_dir):
+    """Damage every conversation, then repair it."""
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
