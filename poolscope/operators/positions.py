@@ -9,6 +9,7 @@ from poolscope import config
 from poolscope.functions import money as M
 from poolscope.functions import ticks as X
 from poolscope.functions.words import WIDE
+from poolscope.operators.asof import asof_join
 
 
 def sort_pair(df: DataFrame, a: str = "token_a", b: str = "token_b") -> DataFrame:
@@ -48,7 +49,19 @@ def value_positions(positions: DataFrame, prices: DataFrame, exact: bool = False
     Default: DOUBLE columns, fully inside the JVM. exact=True: integer text by an Arrow UDF, which
     needs `sqrt_price_word` in the prices. NULL amounts mean an inverted range or no price.
     """
-    joined = positions.join(prices, ["pool"], "left")
+    return _valued(positions.join(prices, ["pool"], "left"), exact)
+
+
+def value_positions_asof(positions: DataFrame, swaps: DataFrame, at: str, exact: bool = False, salt: int | None = None) -> DataFrame:
+    """The same, each position at its pool's latest price at or before its own block `at`.
+
+    `swaps` has pool, block_number, seq, sqrt_price and price_block, and sqrt_price_word for `exact`.
+    """
+    values = ["sqrt_price", "price_block", *(["sqrt_price_word"] if exact else [])]
+    return _valued(asof_join(positions, swaps, values, at=at, salt=salt), exact)
+
+
+def _valued(joined: DataFrame, exact: bool) -> DataFrame:
     lower, upper = F.col("tick_lower"), F.col("tick_upper")
     error = F.when(lower >= upper, F.lit("empty range")).when(
         (lower < config.MIN_TICK) | (upper > config.MAX_TICK), F.lit("tick out of range")

@@ -212,6 +212,33 @@ def position_value_exact(spark, sf):
     return rows.select("token_id", "error", shown("amount0"), shown("amount1"))
 
 
+_AT = "(o_orderkey * 7919) % 5900000 - 50000"
+
+
+@query(
+    "asof_join",
+    f"""WITH {d.SQL_SWAPS}, last AS (SELECT pool_id, block_number, arg_max(sqrt_price, seq) AS sp FROM swaps GROUP BY ALL),
+    asked AS (SELECT o_orderkey AS token_id, o_custkey % 48 AS pool_id, {_AT} AS at_block, CAST(25000 + (o_orderkey % 300) * 50 AS INTEGER) AS lo,
+       CAST(25000 + (o_orderkey % 300) * 50 + (o_custkey % 100 - 2) * 100 AS INTEGER) AS hi,
+       CASE WHEN o_orderkey % 8 = 0 THEN 0 ELSE CAST(round(o_totalprice) AS BIGINT) * 1000000000 END AS liq FROM orders),
+    found AS (SELECT a.*, l.sp, l.block_number AS price_block, pow(1.0001, lo / 2.0) * pow(2, 96) AS a, pow(1.0001, hi / 2.0) * pow(2, 96) AS b
+      FROM asked a ASOF LEFT JOIN last l ON a.pool_id = l.pool_id AND a.at_block >= l.block_number),
+    clamped AS (SELECT *, least(greatest(sp, a), b) AS p FROM found)
+    SELECT token_id, at_block, price_block, CASE WHEN lo >= hi THEN 'empty range' END AS error,
+      CASE WHEN lo < hi AND sp IS NOT NULL THEN round(CASE WHEN liq > 0 AND p < b THEN CAST(liq AS DOUBLE) * (b - p) / p * pow(2, 96) / b ELSE 0 END / 1e6, 3) END AS amount0,
+      CASE WHEN lo < hi AND sp IS NOT NULL THEN round(CASE WHEN liq > 0 AND p > a THEN CAST(liq AS DOUBLE) * (p - a) / pow(2, 96) ELSE 0 END / 1e6, 3) END AS amount1
+    FROM clamped""",
+)
+def asof_join(spark, sf):
+    """Every position at a block of its own, valued at its pool's latest price by then."""
+    at = d.table(spark, sf, "orders").selectExpr("o_orderkey AS token_id", f"{_AT} AS at_block")
+    rows = positions(spark, sf).join(at, "token_id")
+    prices = d.swaps(spark, sf).withColumn("price_block", F.col("block_number"))
+    valued = X.value_positions_asof(rows, prices, at="at_block")
+    shown = lambda c: F.round(F.col(c) / 1e6, 3).alias(c)
+    return valued.select("token_id", "at_block", "price_block", "error", shown("amount0"), shown("amount1"))
+
+
 _PCT = "CASE o_custkey % 6 WHEN 0 THEN 100.0 WHEN 1 THEN 25.5 WHEN 2 THEN 0.004 WHEN 3 THEN 120.0 ELSE 50.0 END"
 
 
