@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from poolscope.functions import limbs as L
 from poolscope.functions.words import WIDE
 
 Q96 = float(2**96)
@@ -150,19 +150,13 @@ def from_base_units(value: Column, decimals: Column, places: int = 6) -> Column:
 def fees_to_anchor(fees0: Column, fees1: Column, sqrt_word: Column, anchor_is_token0: Column) -> Column:
     """Both fee legs in anchor units at the given spot, as decimal text.
 
-    The products need more than 256 bits, so this is an Arrow UDF over Python integers. Use it on
-    aggregated rows only: one call per board row, never per swap. NULL price gives NULL.
+    The legs are decimals or decimal text of any width. The products pass 256 bits and stay exact in limbs: one
+    square, one product or division per row, for aggregated rows. A leg, price or side that is NULL gives NULL.
     """
-    @F.pandas_udf("string")
-    def value(f0: pd.Series, f1: pd.Series, word: pd.Series, first: pd.Series) -> pd.Series:
-        def one(a, b, w, is0):
-            if a is None or b is None or not w or is0 is None:
-                return None
-            square = int(w, 16) ** 2
-            if is0:
-                return str(int(a) + (0 if square == 0 else (int(b) << 192) // square))
-            return str(int(b) + ((int(a) * square) >> 192))
-
-        return pd.Series([one(*row) for row in zip(f0, f1, word, first)], dtype=object)
-
-    return value(fees0.cast("string"), fees1.cast("string"), sqrt_word, anchor_is_token0)
+    f0, f1 = L.from_digits(fees0.cast("string")), L.from_digits(fees1.cast("string"))
+    price = L.from_hex(sqrt_word)
+    square = L.multiply(price, price)
+    # a Q96 price squared carries 192 bits, eight limbs; at price zero the other leg is worth nothing
+    in0 = L.add(f0, F.coalesce(L.divide(L.shifted_up(f1, 8), square), F.when(f1.isNotNull(), F.array(F.lit(0).cast("bigint")))))
+    in1 = L.add(f1, L.shifted_down(L.multiply(f0, square), 8))
+    return F.when(price.isNotNull(), L.to_digits(F.when(anchor_is_token0, in0).when(~anchor_is_token0, in1)))

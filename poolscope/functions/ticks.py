@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from poolscope.config import MAX_TICK, MIN_TICK, TICK_SPACING
+from poolscope.functions import limbs as L
 from poolscope.functions.money import Q96
 
 _LOG_BASE = math.log(1.0001)
@@ -84,35 +84,29 @@ def position_amounts(
     )
 
 
-def exact_position_amounts(
-    liquidity: Column, tick_lower: Column, tick_upper: Column, sqrt_word: Column
-) -> Column:
-    """Same amounts as exact integers in text (struct of amount0, amount1), by an Arrow UDF.
+def exact_amounts_between(liquidity: Column, low: Column, high: Column, sqrt_word: Column) -> Column:
+    """Struct (amount0, amount1), decimal text, of liquidity between two square-root prices at the price `sqrt_word`.
 
-    The intermediate products pass 256 bits. Meant for position snapshots, one row per position.
+    `low` and `high` are DOUBLE, taken digit for digit. amount0 = floor(L * (high - p) * 2^96 / (p * high)) and
+    amount1 = floor(L * (p - low) / 2^96), with p clamped to the range. The products pass 400 bits and stay exact in
+    limbs. NULL for an empty or unknown range and an unknown price.
     """
-    @F.pandas_udf("amount0 string, amount1 string")
-    def amounts(depth: pd.Series, lower: pd.Series, upper: pd.Series, word: pd.Series) -> pd.DataFrame:
-        one = 1 << 96
-
-        def ratio(tick):
-            return math.floor(math.pow(1.0001, tick / 2) * float(one))
-
-        def value(size, lo, hi, w):
-            if size is None or pd.isna(lo) or pd.isna(hi) or not w:
-                return None, None
-            if lo >= hi or lo < MIN_TICK or hi > MAX_TICK:
-                return None, None
-            size = int(size)
-            if size <= 0:
-                return "0", "0"
-            low, high = ratio(lo), ratio(hi)
-            at = min(max(int(w, 16), low), high)
-            first = 0 if at >= high else size * (high - at) * one // (at * high)
-            second = 0 if at <= low else size * (at - low) // one
-            return str(first), str(second)
-
-        rows = [value(*r) for r in zip(depth, lower, upper, word)]
-        return pd.DataFrame(rows, columns=["amount0", "amount1"], dtype=object)
-
-    return amounts(liquidity.cast("string"), tick_lower, tick_upper, sqrt_word)
+    size = L.from_digits(F.greatest(liquidity, F.lit(0)).cast("string"))
+    at, floor, ceiling = L.from_hex(sqrt_word), L.from_double(low), L.from_double(high)
+    known = at.isNotNull() & floor.isNotNull() & ceiling.isNotNull() & size.isNotNull() & (low < high)
+
+    def amounts(v: Column) -> Column:
+        p = F.when(L.less(v["at"], v["low"]), v["low"]).when(L.less(v["high"], v["at"]), v["high"]).otherwise(v["at"])
+        return L.let(p, lambda p: F.struct(
+            L.to_digits(L.divide(L.shifted_up(L.multiply(v["size"], L.subtract(v["high"], p)["out"]), 4), L.multiply(p, v["high"]))).alias("amount0"),
+            L.to_digits(L.shifted_down(L.multiply(v["size"], L.subtract(p, v["low"])["out"]), 4)).alias("amount1"),
+        ))
+
+    parts = F.struct(size.alias("size"), at.alias("at"), floor.alias("low"), ceiling.alias("high"))
+    return F.when(known, L.let(parts, amounts))
+
+
+def exact_position_amounts(liquidity: Column, tick_lower: Column, tick_upper: Column, sqrt_word: Column) -> Column:
+    """Same amounts as exact integers in text (struct of amount0, amount1); NULL for an empty range or bad ticks."""
+    ordered = F.when(tick_lower < tick_upper, tick_lower)
+    return exact_amounts_between(liquidity, sqrt_ratio(ordered), sqrt_ratio(tick_upper), sqrt_word)

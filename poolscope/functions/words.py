@@ -7,10 +7,11 @@ token amount; a wider word decodes to NULL here and keeps its digits in the ``*_
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.functions import limbs as L
+
 WIDE = "decimal(38,0)"
 _TWO64 = "18446744073709551616"
 _ZEROS33, _ONES33 = "0" * 33, "f" * 33
@@ -126,15 +127,7 @@ def limb(w: Column, k: int) -> Column:
 
 def wide_total(sums: list[Column], negatives: Column) -> Column:
     """Decimal text of sum(limbs[k] * 2^(32k)) - negatives * 2^256, for one row per group."""
-    @F.pandas_udf("string")
-    def total(limbs: pd.Series, negative_rows: pd.Series) -> pd.Series:
-        def one(parts, minus):
-            value = sum(int(p) << (32 * k) for k, p in enumerate(parts))
-            return str(value - (int(minus) << 256))
-
-        return pd.Series([one(p, m) for p, m in zip(limbs, negative_rows)])
-
-    return total(F.array(*[F.coalesce(s, F.lit(0)) for s in sums]), F.coalesce(negatives, F.lit(0)))
+    return L.signed_text(L.from_sums(sums, 32, negatives))
 
 
 def exact_sum(df: DataFrame, keys: list[str], word_col: str, out: str = "total", signed: bool = True) -> DataFrame:
@@ -142,7 +135,7 @@ def exact_sum(df: DataFrame, keys: list[str], word_col: str, out: str = "total",
 
     Narrow rows add up as DECIMAL; only wide rows go through eight 32-bit limb sums. Both are plain
     partial aggregates, so a hot group is combined before the shuffle. One finished row per group
-    is turned into text by an Arrow UDF.
+    is turned into text.
     """
     w = F.col(word_col)
     value = signed_value(w) if signed else word_value(w)

@@ -46,8 +46,7 @@ def resolve_tokens(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
 def value_positions(positions: DataFrame, prices: DataFrame, exact: bool = False) -> DataFrame:
     """Token amounts each position is worth at its pool's price.
 
-    Default: DOUBLE columns, fully inside the JVM. exact=True: integer text by an Arrow UDF, which
-    needs `sqrt_price_word` in the prices. NULL amounts mean an inverted range or no price.
+    Default: DOUBLE columns. exact=True: integer text, which needs `sqrt_price_word` in the prices. NULL amounts mean an inverted range or no price.
     """
     return _valued(positions.join(prices, ["pool"], "left"), exact)
 
@@ -69,7 +68,7 @@ def _valued(joined: DataFrame, exact: bool) -> DataFrame:
     if exact:
         both = X.exact_position_amounts(F.col("liquidity"), lower, upper, F.col("sqrt_price_word"))
         out = joined.withColumn("_v", both)
-        out = out.withColumn("amount0", F.col("_v.amount0")).withColumn("amount1", F.col("_v.amount1")).drop("_v")
+        out = out.withColumns({"amount0": F.col("_v.amount0"), "amount1": F.col("_v.amount1")}).drop("_v")
     else:
         amount0, amount1 = X.position_amounts(F.col("liquidity"), lower, upper, F.col("sqrt_price"))
         out = joined.withColumn("amount0", amount0).withColumn("amount1", amount1)

@@ -80,7 +80,7 @@ def test_candle_series_reads_no_frame_to_the_end(spark):
 def test_board_plan(spark):
     text = plan(P.board_rows(d.swaps(spark, SF), m.tables(spark), d.CFG))
     assert text.count("WindowGroupLimit") >= 4  # both rank cuts, each before and after its shuffle
-    assert text.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in text
+    assert "Python" not in text and "Arrow" not in text
     assert "SinglePartition" not in text and "rangepartitioning" not in text
     assert text.count("FileScan") == 2  # the sums, and the traders alone
 

@@ -56,28 +56,34 @@ def cl_agg(spark, sf):
 
 
 # amounts of every seventh swap are 128 bits wider, as in `raw_logs`
-def _times(x: str, factor: int) -> str:
+def times(x: str, factor: int) -> str:
     """x * factor as BIGNUM, which only adds exactly: doubling and adding along the factor's bits."""
     bits = ", ".join(f"{factor:b}")
     return f"list_reduce([{bits}], lambda acc, bit: acc + acc + CASE WHEN bit = 1 THEN {x} ELSE CAST(0 AS BIGNUM) END, CAST(0 AS BIGNUM))"
 
 
-def _wide_fee(fee: str, when: str) -> str:
+def times_by(x: str, factor: str) -> str:
+    """x * factor as BIGNUM for a factor column below 2^40, by doubling and adding."""
+    return f"""list_reduce(list_prepend(CAST(0 AS BIGNUM), list_transform(range(40), lambda k: CASE WHEN ({factor} >> (39 - k)) & 1 = 1 THEN {x} ELSE CAST(0 AS BIGNUM) END)),
+      lambda acc, x: acc + acc + x)"""
+
+
+def wide_fee(fee: str, when: str) -> str:
     """Sum of trunc(a * fee / 10^6) over narrow amounts and trunc(a * 2^128 * fee / 10^6) over wide ones."""
     part = lambda expr, cond: f"CAST(coalesce(sum({expr}) FILTER (WHERE {when} AND {cond}), 0) AS BIGNUM)"
     ratio, rest = divmod(2**128, 10**6)
-    return f"""CAST({part(f'a * {fee} // 1000000', 'NOT w')} + {_times(part(f'a * {fee} // 1000000', 'w'), 2**128)}
-      + {_times(part(f'(a * {fee}) % 1000000', 'w'), ratio)} + {part(f'((a * {fee}) % 1000000) * {rest} // 1000000', 'w')} AS VARCHAR)"""
+    return f"""CAST({part(f'a * {fee} // 1000000', 'NOT w')} + {times(part(f'a * {fee} // 1000000', 'w'), 2**128)}
+      + {times(part(f'(a * {fee}) % 1000000', 'w'), ratio)} + {part(f'((a * {fee}) % 1000000) * {rest} // 1000000', 'w')} AS VARCHAR)"""
 
 
 _WIDE_VOLUME = f"""CAST(CAST(coalesce(sum(abs(q)) FILTER (WHERE NOT qw), 0) AS BIGNUM)
-  + {_times('CAST(coalesce(sum(abs(q)) FILTER (WHERE qw), 0) AS BIGNUM)', 2**128)} AS VARCHAR)"""
-_WIDE_ROWS = """legs AS (
+  + {times('CAST(coalesce(sum(abs(q)) FILTER (WHERE qw), 0) AS BIGNUM)', 2**128)} AS VARCHAR)"""
+WIDE_ROWS = """legs AS (
   SELECT s.*, p.fee_pips, CASE WHEN p.is0 THEN amount0 ELSE amount1 END AS q, p.is0 AND seq % 7 = 3 AS qw, seq % 7 = 3 AS w0
   FROM swaps s JOIN pools p USING (pool_id) WHERE seq % 101 <> 0)"""
 
 
-def _wide(spark, sf, venue: str) -> DataFrame:
+def wide_swaps(spark, sf, venue: str) -> DataFrame:
     from poolscope.operators import decode as D
     from poolscope.sources import logs as L
     from workload.logs import raw_logs
@@ -89,17 +95,17 @@ def _wide(spark, sf, venue: str) -> DataFrame:
 
 @query(
     "v3_agg_wide",
-    f"""WITH {d.SQL_SWAPS}, {d.SQL_POOLS}, {_WIDE_ROWS},
+    f"""WITH {d.SQL_SWAPS}, {d.SQL_POOLS}, {WIDE_ROWS},
     vol AS (SELECT window_id, pool, count(*) AS swaps, count(DISTINCT trader) AS traders, {_WIDE_VOLUME} AS volume_anchor,
               count(*) FILTER (WHERE w0) AS overflow_rows, coalesce(bool_or(qw), false) AS big FROM legs GROUP BY ALL),
-    f0 AS (SELECT window_id, pool, {_wide_fee('fee_pips', 'a > 0')} AS fees0 FROM (SELECT *, amount0 AS a, w0 AS w FROM legs) GROUP BY ALL),
-    f1 AS (SELECT window_id, pool, {_wide_fee('fee_pips', 'a > 0')} AS fees1 FROM (SELECT *, amount1 AS a, false AS w FROM legs) GROUP BY ALL)
+    f0 AS (SELECT window_id, pool, {wide_fee('fee_pips', 'a > 0')} AS fees0 FROM (SELECT *, amount0 AS a, w0 AS w FROM legs) GROUP BY ALL),
+    f1 AS (SELECT window_id, pool, {wide_fee('fee_pips', 'a > 0')} AS fees1 FROM (SELECT *, amount1 AS a, false AS w FROM legs) GROUP BY ALL)
     SELECT window_id, pool, swaps, traders, volume_anchor, NOT big AS volume_fits, fees0, fees1, overflow_rows
     FROM vol JOIN f0 USING (window_id, pool) JOIN f1 USING (window_id, pool)""",
 )
 def v3_agg_wide(spark, sf):
     """Decoded logs with 256-bit amounts: exact totals of any width, and no number where it does not fit."""
-    rows = A.aggregate_v3(_wide(spark, sf, "v3"), keep_limbs=True)
+    rows = A.aggregate_v3(wide_swaps(spark, sf, "v3"), keep_limbs=True)
     names = ("volume_anchor", "fees0", "fees1")
     fits = F.col("volume_anchor").isNotNull().alias("volume_fits")
     return rows.select("window_id", "pool", "swaps", "traders", fits, "overflow_rows", *[A.exact_text(n).alias(n) for n in names])
@@ -107,14 +113,14 @@ def v3_agg_wide(spark, sf):
 
 @query(
     "cl_agg_wide",
-    f"""WITH {d.SQL_SWAPS}, {d.SQL_POOLS}, {_WIDE_ROWS},
+    f"""WITH {d.SQL_SWAPS}, {d.SQL_POOLS}, {WIDE_ROWS},
     vol AS (SELECT window_id, cl_pool AS pool, count(*) AS swaps, {_WIDE_VOLUME} AS volume_anchor FROM legs GROUP BY ALL),
-    fees AS (SELECT window_id, cl_pool AS pool, {_wide_fee('event_fee', 'event_fee <= 100000')} AS fees_anchor
+    fees AS (SELECT window_id, cl_pool AS pool, {wide_fee('event_fee', 'event_fee <= 100000')} AS fees_anchor
              FROM (SELECT *, abs(q) AS a, qw AS w FROM legs) GROUP BY ALL)
     SELECT * FROM vol JOIN fees USING (window_id, pool)""",
 )
 def cl_agg_wide(spark, sf):
-    rows = A.aggregate_cl(_wide(spark, sf, "cl"), keep_limbs=True)
+    rows = A.aggregate_cl(wide_swaps(spark, sf, "cl"), keep_limbs=True)
     return rows.select("window_id", "pool", "swaps", *[A.exact_text(n).alias(n) for n in ("volume_anchor", "fees_anchor")])
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from poolscope import config
 from poolscope.functions import money as M
+from poolscope.functions import ticks as K
 from poolscope.operators import aggregate as A
 from poolscope.operators import positions as X
 from poolscope.operators import trail as T
 from poolscope.plans import market as P
 from workload import derive as d
-from workload.market import text, v3_aggregate
+from workload.market import WIDE_ROWS, text, times, times_by, v3_aggregate, wide_fee, wide_swaps
 from workload.registry import query
 
 _TOK = "concat('0x{p}', lpad(CAST({n} AS string), 38, '0'))"
@@ -141,6 +142,33 @@ def fees_anchor(spark, sf):
     return rows.select("window_id", "pool", fees.alias("fees"))
 
 
+def _quotient(digits: str, unit: str) -> str:
+    """Decimal text of floor(digits / unit), digit by digit, for a unit below 10^18."""
+    steps = f"list_transform(string_split({digits}, ''), lambda c: CAST(c AS BIGINT))"
+    fold = f"""list_reduce(list_prepend({{'rest': CAST(0 AS BIGINT), 'text': '', 'd': CAST(0 AS BIGINT)}},
+      list_transform({steps}, lambda c: {{'rest': CAST(0 AS BIGINT), 'text': '', 'd': c}})),
+      lambda acc, x: {{'rest': (acc.rest * 10 + x.d) % {unit}, 'text': acc.text || CAST((acc.rest * 10 + x.d) // {unit} AS VARCHAR), 'd': CAST(0 AS BIGINT)}})"""
+    return f"coalesce(nullif(ltrim(({fold}).text, '0'), ''), '0')"
+
+
+@query(
+    "fees_anchor_wide",
+    f"""WITH {d.SQL_SWAPS}, {d.SQL_POOLS}, {WIDE_ROWS},
+    f0 AS (SELECT window_id, pool, is0, arg_max(price_milli, seq) AS m, {wide_fee('fee_pips', 'a > 0')} AS fees0 FROM (SELECT *, amount0 AS a, w0 AS w FROM legs) GROUP BY ALL),
+    f1 AS (SELECT window_id, pool, {wide_fee('fee_pips', 'a > 0')} AS fees1 FROM (SELECT *, amount1 AS a, false AS w FROM legs) GROUP BY ALL),
+    both_legs AS (SELECT *, m * m AS mm, CAST(fees0 AS BIGNUM) AS n0, CAST(fees1 AS BIGNUM) AS n1 FROM f0 JOIN f1 USING (window_id, pool)),
+    scaled AS (SELECT *, CAST({times('n1', 65536)} AS VARCHAR) AS up1, CAST({times_by('n0', 'mm')} AS VARCHAR) AS up0 FROM both_legs)
+    SELECT window_id, pool, CAST(CASE WHEN is0 THEN n0 + CASE WHEN m = 0 THEN CAST(0 AS BIGNUM) ELSE CAST({_quotient('up1', 'greatest(mm, 1)')} AS BIGNUM) END
+      ELSE n1 + CAST({_quotient('up0', '65536')} AS BIGNUM) END AS VARCHAR) AS fees FROM scaled""",
+)
+def fees_anchor_wide(spark, sf):
+    """Fee legs beyond 2^128 at the window's last price, digit by digit."""
+    rows = A.aggregate_v3(wide_swaps(spark, sf, "v3"), keep_limbs=True)
+    legs = rows.withColumns({n: A.exact_text(n) for n in ("fees0", "fees1")})
+    fees = M.fees_to_anchor(F.col("fees0"), F.col("fees1"), F.lpad("last_sqrt_word", 64, "0"), F.col("anchor_is_token0"))
+    return legs.select("window_id", "pool", fees.alias("fees"))
+
+
 @query(
     "fdv",
     f"""WITH {d.SQL_AGG}, {d.SQL_SAMPLES}
@@ -212,6 +240,29 @@ def position_value_exact(spark, sf):
     return rows.select("token_id", "error", shown("amount0"), shown("amount1"))
 
 
+@query(
+    "amounts_exact",
+    f"""WITH {d.SQL_SWAPS}, spot AS (SELECT pool_id, arg_max(price_milli, seq) AS sp FROM swaps GROUP BY pool_id),
+    r AS (SELECT o_orderkey AS token_id, o_orderkey % 1500 + 500 AS lo, o_orderkey % 1500 + 400 + o_custkey % 700 AS hi, sp,
+       CASE WHEN o_orderkey % 8 = 0 THEN CAST(0 AS HUGEINT) ELSE CAST(round(o_totalprice) AS HUGEINT) * 1000000007000000011 + o_orderkey END AS liq
+      FROM orders LEFT JOIN spot ON pool_id = o_custkey % 48),
+    c AS (SELECT *, least(greatest(sp, lo), hi) AS p FROM r WHERE lo < hi)
+    SELECT r.token_id, CAST(c.liq * (c.hi - c.p) * 256 // (c.p * c.hi) AS VARCHAR) AS amount0, CAST(c.liq * (c.p - c.lo) // 256 AS VARCHAR) AS amount1
+    FROM r LEFT JOIN c USING (token_id)""",
+)
+def amounts_exact(spark, sf):
+    """Exact amounts between two square-root prices; the SQL cancels the common power of two and compares all digits."""
+    rows = d.table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS token_id", f"{_TOK.format(p='b0', n='o_custkey % 48')} AS pool",
+        f"CAST(o_orderkey % 1500 + 500 AS double) * {d.Q88}D AS low", f"CAST(o_orderkey % 1500 + 400 + o_custkey % 700 AS double) * {d.Q88}D AS high",
+        """CASE WHEN o_orderkey % 8 = 0 THEN CAST(0 AS decimal(38,0))
+           ELSE CAST(CAST(CAST(round(o_totalprice) AS bigint) AS decimal(18,0)) * 1000000007000000011BD + o_orderkey AS decimal(38,0)) END AS liquidity""",
+    )
+    priced = rows.join(spot(spark, sf), "pool", "left")
+    both = K.exact_amounts_between(F.col("liquidity"), F.col("low"), F.col("high"), F.col("sqrt_price_word"))
+    return priced.withColumn("_v", both).select("token_id", "_v.amount0", "_v.amount1")
+
+
 _AT = "(o_orderkey * 7919) % 5900000 - 50000"
 
 
