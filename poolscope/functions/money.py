@@ -153,10 +153,15 @@ def fees_to_anchor(fees0: Column, fees1: Column, sqrt_word: Column, anchor_is_to
     The legs are decimals or decimal text of any width. The products pass 256 bits and stay exact in limbs: one
     square, one product or division per row, for aggregated rows. A leg, price or side that is NULL gives NULL.
     """
-    f0, f1 = L.from_digits(fees0.cast("string")), L.from_digits(fees1.cast("string"))
-    price = L.from_hex(sqrt_word)
-    square = L.multiply(price, price)
-    # a Q96 price squared carries 192 bits, eight limbs; at price zero the other leg is worth nothing
-    in0 = L.add(f0, F.coalesce(L.divide(L.shifted_up(f1, 8), square), F.when(f1.isNotNull(), F.array(F.lit(0).cast("bigint")))))
-    in1 = L.add(f1, L.shifted_down(L.multiply(f0, square), 8))
-    return F.when(price.isNotNull(), L.to_digits(F.when(anchor_is_token0, in0).when(~anchor_is_token0, in1)))
+    parts = F.struct(
+        L.from_digits(fees0.cast("string")).alias("f0"), L.from_digits(fees1.cast("string")).alias("f1"),
+        L.let(L.from_hex(sqrt_word), lambda p: L.multiply(p, p)).alias("square"), anchor_is_token0.alias("first"),
+    )
+
+    def value(v: Column) -> Column:
+        # a Q96 price squared carries 192 bits, eight limbs; at price zero the other leg is worth nothing
+        in0 = L.add(v["f0"], F.coalesce(L.divide(L.shifted_up(v["f1"], 8), v["square"]), F.when(v["f1"].isNotNull(), F.array(F.lit(0).cast("bigint")))))
+        in1 = L.add(v["f1"], L.shifted_down(L.multiply(v["f0"], v["square"]), 8))
+        return F.when(v["square"].isNotNull(), L.to_digits(F.when(v["first"], in0).when(~v["first"], in1)))
+
+    return L.let(parts, value)

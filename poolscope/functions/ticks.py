@@ -91,19 +91,22 @@ def exact_amounts_between(liquidity: Column, low: Column, high: Column, sqrt_wor
     amount1 = floor(L * (p - low) / 2^96), with p clamped to the range. The products pass 400 bits and stay exact in
     limbs. NULL for an empty or unknown range and an unknown price.
     """
-    size = L.from_digits(F.greatest(liquidity, F.lit(0)).cast("string"))
-    at, floor, ceiling = L.from_hex(sqrt_word), L.from_double(low), L.from_double(high)
-    known = at.isNotNull() & floor.isNotNull() & ceiling.isNotNull() & size.isNotNull() & (low < high)
+    parts = F.struct(
+        L.from_digits(F.greatest(liquidity, F.lit(0)).cast("string")).alias("size"), L.from_hex(sqrt_word).alias("at"),
+        L.from_double(F.when(low < high, low)).alias("low"), L.from_double(high).alias("high"),
+    )
 
     def amounts(v: Column) -> Column:
         p = F.when(L.less(v["at"], v["low"]), v["low"]).when(L.less(v["high"], v["at"]), v["high"]).otherwise(v["at"])
-        return L.let(p, lambda p: F.struct(
-            L.to_digits(L.divide(L.shifted_up(L.multiply(v["size"], L.subtract(v["high"], p)["out"]), 4), L.multiply(p, v["high"]))).alias("amount0"),
+        up = lambda p: L.shifted_up(L.multiply(v["size"], L.subtract(v["high"], p)["out"]), 4)
+        both = lambda p: F.struct(
+            L.to_digits(L.divide(up(p), L.multiply(p, v["high"]))).alias("amount0"),
             L.to_digits(L.shifted_down(L.multiply(v["size"], L.subtract(p, v["low"])["out"]), 4)).alias("amount1"),
-        ))
+        )
+        known = v["at"].isNotNull() & v["low"].isNotNull() & v["high"].isNotNull() & v["size"].isNotNull()
+        return F.when(known, L.let(p, both))
 
-    parts = F.struct(size.alias("size"), at.alias("at"), floor.alias("low"), ceiling.alias("high"))
-    return F.when(known, L.let(parts, amounts))
+    return L.let(parts, amounts)
 
 
 def exact_position_amounts(liquidity: Column, tick_lower: Column, tick_upper: Column, sqrt_word: Column) -> Column:

