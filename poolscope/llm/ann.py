@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: an inverted file whose lists are scanned by adaptive dimensions.
 
-Centroids are fitted on at most SAMPLE rows (first in hash order), in one task; every row is then put
-into the list of its nearest centroid. A query probes its nearest lists. Within a list, vectors are
+Centroids are fitted on at most SAMPLE rows (first in hash order), in one task, for each vector length by itself;
+every row is then put into the list of its nearest centroid. Rows of a length that the sample lacks are one list. A query probes its nearest lists. Within a list, vectors are
 rotated by a fixed random rotation and lie in blocks of columns. After each block the partial squared
 distance of m of d dimensions is tested against the kth distance r so far: if it exceeds
 r^2 * m / d * (1 + EPSILON / sqrt(m))^2, the hypothesis that the whole distance stays below r is
@@ -11,15 +11,16 @@ A query searches its nearest list first; its kth distance there goes with it to
 lists are split, and so are the queries of a much-probed list, so a task holds a bounded tile.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and null
-vec_ids, take no part, nor do vectors of another length than most of the sample; repeated rows are
-candidates of their own, while a repeated query id is one query, with its least vector; empty input
-gives no rows; other columns are ignored.
+vec_ids, take no part; vectors of different lengths are searched apart; repeated rows are candidates of
+their own, while a repeated query id is one query, with its least vector; empty input gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,14 @@ def nearest(points: np.ndarray, centres: np.ndarray, count: int = 1) -> np.ndarr
     return out
 
 
-def fit_index(points: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, rotation) by Lloyd's rounds from random rows; an emptied list restarts at a random row."""
+@lru_cache(8)
+def rotation_of(d: int) -> np.ndarray:
+    """The fixed random rotation of vectors of length d."""
+    return np.linalg.qr(np.random.default_rng(d).standard_normal((d, d)))[0]
+
+
+def fit_index(points: np.ndarray, lists: int) -> np.ndarray:
+    """Centroids by Lloyd's rounds from random rows; an emptied list restarts at a random row."""
     rng = np.random.default_rng(4)
     centres = points[rng.permutation(len(points))[:lists]].copy()
     for _ in range(ROUNDS):
@@ -65,14 +72,15 @@ def fit_index(points: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
         empty = count == 0
         centres = sums / np.maximum(count, 1)[:, None]
         centres[empty] = points[rng.integers(0, len(points), empty.sum())]
-    rotation = np.linalg.qr(rng.standard_normal((points.shape[1], points.shape[1])))[0]
-    return centres, rotation
+    return centres
 
 
-def scan_list(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, radii: np.ndarray, rotation: np.ndarray, k: int) -> list:
+def scan_list(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, radii: np.ndarray, k: int) -> list:
     """(query row, vec_id, distance) of the k nearest rows found for each query, but its own row."""
     d = points.shape[1]
-    turned, asked = points @ rotation, queries @ rotation
+    turned, asked = points @ rotation_of(d), queries @ rotation_of(d)
+    # what rounding may add to the partial distance of two copies, many times over; the exact distance decides
+    blur = 1e-20 * (queries * queries).sum(1)
     edges = [*range(0, d, COLUMNS), d]
     blocks = [np.ascontiguousarray(turned[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     slack = [m / d * (1 + EPSILON / np.sqrt(m)) ** 2 for m in edges[1:]]
@@ -85,7 +93,7 @@ def scan_list(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.
             for n, block in enumerate(blocks[:-1]):
                 gap = block[alive] - asked[q, edges[n] : edges[n + 1]]
                 part += np.einsum("ij,ij->i", gap, gap)
-                stay = part <= slack[n] * radius * radius
+                stay = part <= slack[n] * radius * radius * (1 + 1e-9) + blur[q]
                 alive, part = alive[stay], part[stay]
             gap = points[alive] - queries[q]
             exact = np.sqrt((gap * gap).sum(1))
@@ -114,13 +122,17 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, most_lists: int = MOST
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [m for b in batches for m in matrices(b.column(0)).values()]
         if found:
-            counts: dict[int, int] = {}
+            groups: dict[int, list] = {}
             for _, m in found:
-                counts[m.shape[1]] = counts.get(m.shape[1], 0) + len(m)
-            d = max(counts, key=lambda x: (counts[x], -x))
-            points = np.concatenate([m for _, m in found if m.shape[1] == d])
-            points = points[np.lexsort(points.T)]
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_index(points, lists))], pa.binary())], names=["model"])
+                groups.setdefault(m.shape[1], []).append(m)
+            total, first, model = sum(len(m) for _, m in found), 0, {}
+            for d, parts in sorted(groups.items()):
+                points = np.concatenate(parts)
+                points = points[np.lexsort(points.T)]
+                centres = fit_index(points, max(1, round(lists * len(points) / total)))
+                model[d] = first, centres
+                first += len(centres)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     picked = rows.orderBy("order", "vec_id").limit(sample).select("embedding").repartition(1)
     model = picked.mapInArrow(fit, "model binary").first()
@@ -129,16 +141,16 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE, most_lists: int = MOST
     shared = rows.sparkSession.sparkContext.broadcast(bytes(model.model))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = pickle.loads(shared.value)[0]
+        model = pickle.loads(shared.value)
         for b in batches:
-            at, points = matrices(b.column(1)).get(centres.shape[1], (np.empty(0, int), None))
-            if len(at):
-                kept = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(nearest(points, centres)[:, 0], pa.int32()), *kept.columns], names=["list", *b.schema.names])
+            for d, (at, points) in matrices(b.column(1)).items():
+                first, centres = model.get(d, (-d, None))
+                place = first + (nearest(points, centres)[:, 0] if centres is not None else np.zeros(len(at), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *b.take(pa.array(at)).columns], names=["list", *b.schema.names])
 
     placed = rows.select("vec_id", "embedding", "order").mapInArrow(assign, "list int, vec_id bigint, embedding array<double>, order bigint")
     placed = written(placed, "ann-lists")
-    # at most `most_lists` rows
+    # at most `most_lists` rows, and one for each length that the sample lacks
     sizes = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     return Index(placed, bytes(model.model), sizes)
 
@@ -155,22 +167,22 @@ def search_index(index: Index, queries: DataFrame, k: int = K, probes: int = PRO
     shared = spark.sparkContext.broadcast((index.model, index.sizes))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, sizes = shared.value
-        centres = pickle.loads(model)[0]
-        rows_in = np.array([sizes.get(i, 0) for i in range(len(centres))])
-        most = max(probes, int(np.ceil(share * len(centres))))
+        model, sizes = pickle.loads(shared.value[0]), shared.value[1]
         for b in batches:
-            at, points = matrices(b.column(1)).get(centres.shape[1], (np.empty(0, int), None))
-            for i in range(0, len(at), 256):
-                order = nearest(points[i : i + 256], centres, len(centres))
-                held = np.cumsum(rows_in[order], axis=1) - rows_in[order]
-                probed = ((np.arange(len(centres)) < most) | (held <= 8 * k)) & (rows_in[order] > 0)
-                row, place = np.nonzero(probed)
-                nth = np.cumsum(probed, axis=1)[row, place] - 1
-                kept = b.take(pa.array(at[i : i + 256][row]))
-                yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(order[row, place], pa.int32()), pa.array(nth, pa.int32())], names=["query_id", "embedding", "list", "nth"]
-                )
+            for d, (at, points) in matrices(b.column(1)).items():
+                first, centres = model.get(d, (-d, np.zeros((1, d))))
+                rows_in = np.array([sizes.get(first + i, 0) for i in range(len(centres))])
+                most = max(probes, int(np.ceil(share * len(centres))))
+                for i in range(0, len(at), 256):
+                    order = nearest(points[i : i + 256], centres, len(centres))
+                    held = np.cumsum(rows_in[order], axis=1) - rows_in[order]
+                    probed = ((np.arange(len(centres)) < most) | (held <= 8 * k)) & (rows_in[order] > 0)
+                    row, place = np.nonzero(probed)
+                    nth = np.cumsum(probed, axis=1)[row, place] - 1
+                    kept = b.take(pa.array(at[i : i + 256][row]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept.columns, pa.array(first + order[row, place], pa.int32()), pa.array(nth, pa.int32())], names=["query_id", "embedding", "list", "nth"]
+                    )
 
     asked = queries.groupBy("query_id").agg(F.min("embedding").alias("embedding"))
     asked = written(asked.select("query_id", "embedding").mapInArrow(choose, "query_id bigint, embedding array<double>, list int, nth int"), "ann-probes")
@@ -187,10 +199,10 @@ def search_index(index: Index, queries: DataFrame, k: int = K, probes: int = PRO
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list = []
         if left.num_rows and right.num_rows:
-            rotation, names = pickle.loads(shared.value[0])[1], left["query_id"].to_numpy()
+            names = left["query_id"].to_numpy()
             ((_, wanted),), ((_, points),) = matrices(left["embedding"]).values(), matrices(right["embedding"]).values()
             radii = left["radius"].fill_null(np.inf).to_numpy()
-            found = [(int(names[q]), n, s) for q, n, s in scan_list(points, right["vec_id"].to_numpy(), wanted, names, radii, rotation, k)]
+            found = [(int(names[q]), n, s) for q, n, s in scan_list(points, right["vec_id"].to_numpy(), wanted, names, radii, k)]
         cols = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 

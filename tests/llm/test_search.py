@@ -110,11 +110,36 @@ def test_ann_recall_on_the_given_vectors(spark):
 def test_ann_hard_rows(spark):
     rows = vectors(400)
     got = ann.nearest_neighbours(table(spark, rows)).collect()
-    asked = {i for i, v in rows if i is not None and i % 100 == 0 and fine(v) and len(v) == 8 and any(v)}
-    assert {r.query_id for r in got} == asked
-    assert all(r.vec_id != r.query_id and r.vec_id not in (1300, 1350, 1400) for r in got)
+    asked = {i for i, v in rows if i is not None and i % 100 == 0 and fine(v) and any(v)}
+    assert {r.query_id for r in got} == asked and 1300 in asked
+    # lengths are searched apart: the two vectors of nine components find each other and nothing else
+    assert [r.vec_id for r in got if r.query_id == 1300] == [1350]
+    assert all(r.vec_id != r.query_id and r.vec_id not in (1300, 1350, 1400) for r in got if r.query_id != 1300)
     same = [r for r in got if r.query_id == 300]  # copies of one vector: ties by id
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(same, key=lambda r: r["rank"])] == [(n, 3 * (n - 1), 0.0) for n in range(1, 11)]
     assert ann.nearest_neighbours(table(spark, [])).count() == 0
     few = ann.nearest_neighbours(table(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])).collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 1)]
+
+
+def test_ann_copies_over_many_chunks(spark):
+    """One query in the tile and copies beyond a chunk: ties still go to the smallest ids."""
+    rng = np.random.default_rng(1)
+    same = rng.normal(size=24) * 3
+    points = np.concatenate([np.tile(same, (3000, 1)), rng.normal(size=(500, 24))])
+    ids = rng.permutation(3500)
+    for asked in (1, 2, 5):
+        queries, own = points[:asked], ids[:asked]
+        got = ann.scan_list(points, ids, queries, own, np.full(asked, np.inf), 10)
+        for q in range(asked):
+            want = sorted(set(ids[:3000].tolist()) - {int(own[q])})[:10]
+            assert [n for row, n, _ in got if row == q] == want
+    rows = [(int(i), p.tolist()) for i, p in zip(ids[2000:3500], points[2000:3500], strict=True)] + [(5000 + i, rng.normal(size=3).tolist()) for i in range(40)]
+    found = {}
+    for r in sorted(ann.nearest_neighbours(table(spark, rows)).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    copies = sorted(int(i) for i in ids[2000:3000])
+    for q, names in found.items():
+        if q in copies:
+            assert names == [i for i in copies if i != q][:10]
+    assert len(found[5000]) == 10 and min(found[5000]) > 5000
