@@ -308,12 +308,12 @@ _HISTORY_OUT = """CAST(len(st.h) AS BIGINT) AS history_len,
     CAST(coalesce(list_sum([x.n for x in st.h]), 0) AS BIGINT) AS history_blocks"""
 
 
-@query(
-    "volume_fold",
-    f"""{_BASE.replace(d.SQL_SAMPLES, d.SQL_SAMPLES.replace("samples AS", "samples0 AS"))},
+FOLD_SQL = f"""{_BASE.replace(d.SQL_SAMPLES, d.SQL_SAMPLES.replace("samples AS", "samples0 AS"))},
     samples AS (SELECT * REPLACE (greatest(bucket - CASE WHEN (window_id + pool_id) % 7 = 0 THEN 2 ELSE 0 END, 0) AS bucket) FROM samples0),
-    {d.SQL_HISTORY} SELECT pool, window_id, {_HISTORY_OUT} FROM folded""",
-)
+    {d.SQL_HISTORY} SELECT pool, window_id, {_HISTORY_OUT} FROM folded"""
+
+
+@query("volume_fold", FOLD_SQL)
 def volume_fold(spark, sf):
     """Retained history at each sample, late samples included; the SQL folds sample by sample."""
     rows = S.volume_history(shuffled_samples(spark, sf), d.BUCKET_BLOCKS)
