@@ -90,7 +90,11 @@ def score_samples(
     """Dollar volume, spike and RSI of each sample, against its pool's own past."""
     history = S.volume_history(sample_rows, cfg.blocks_per_bucket, cfg.history_buckets, volume_state)
     history = history.filter(~F.col("_stored")).drop("_stored", "first_bucket", "pos")
-    series = S.candle_series(history, cfg.retained_closes, candle_state)
+    return score_series(S.candle_series(history, cfg.retained_closes, candle_state), cfg, rate)
+
+
+def score_series(series: DataFrame, cfg: config.BoardConfig, rate: float | None | DataFrame = None) -> DataFrame:
+    """The same from samples that already have their history and price series."""
     series = series.filter(~F.col("_stored")).drop("_stored", "first_bucket", "pos", "candle_live")
     tagged = S.rsi_tag(series, min_volume=cfg.rsi_min_volume).drop("series")
     baseline = S.baseline_rate(
