@@ -20,6 +20,26 @@ def count_traders(swaps: DataFrame, keys: list[str], trader: str) -> DataFrame:
     return swaps.select(*keys, trader).distinct().groupBy(*keys).agg(F.count(trader).alias("traders"))
 
 
+def trader_sketches(swaps: DataFrame, keys: list[str], trader: str, lg: int = 12) -> DataFrame:
+    """A sketch of the distinct traders per group, to be stored and merged to any span later.
+
+    2^lg registers: a standard error of 1.04 / sqrt(2^lg), 1.6 % at 12, in at most about 2.5 KB a group; counts of
+    up to a few hundred are exact. Sketches are partial aggregates, so a hot group is combined before the shuffle.
+    """
+    return swaps.groupBy(*keys).agg(F.hll_sketch_agg(trader, F.lit(lg)).alias("trader_sketch"))
+
+
+def merge_traders(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimated distinct traders per group of stored sketches, each trader counted once however many buckets saw it."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("trader_sketch")).alias("traders"))
+
+
+def recent_buckets(sketches: DataFrame, n: int, key: str = "pool", bucket: str = "bucket") -> DataFrame:
+    """Sketches of the `n` buckets up to the newest one of each key."""
+    newest = sketches.groupBy(key).agg(F.max(bucket).alias("_newest"))
+    return sketches.join(newest, key).filter(F.col(bucket) > F.col("_newest") - n).drop("_newest")
+
+
 # Amounts below 10^27 (a billion whole tokens) are added up as three BIGINT pieces of nine digits
 # each, which is several times faster than DECIMAL(38,0) arithmetic. Greater amounts, up to 256 bits,
 # are added up as eight 32-bit limbs in the same pass. A total that leaves 38 digits is NULL (its

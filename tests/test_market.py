@@ -354,3 +354,14 @@ def test_fees_to_anchor_beyond_256_bits(spark):
         else:
             expect = b + ((a * p * p) >> 192)
         assert int(r[0]) == expect
+
+
+def test_sketches_merge_to_any_span(spark):
+    """Traders who come back are counted once over a span, and small counts are exact."""
+    swaps = spark.range(60_000).selectExpr("concat('p', id % 3) pool", "id div 1000 bucket", "concat('t', id % 3, '-', (id div 3) % 7000) trader")
+    sketches = A.trader_sketches(swaps, ["pool", "bucket"], "trader")
+    every = {r.pool: r.traders for r in A.merge_traders(sketches, ["pool"]).collect()}
+    assert all(abs(n - 7000) <= 0.05 * 7000 for n in every.values()) and len(every) == 3
+    newest = {r.pool: r.traders for r in A.merge_traders(A.recent_buckets(sketches, 1), ["pool"]).collect()}
+    assert all(abs(n - 333) <= 1 for n in newest.values())
+    assert A.merge_traders(sketches.limit(0), ["pool"]).count() == 0

@@ -17,6 +17,7 @@ from poolscope.operators import select as T
 from poolscope.operators import series as S
 from poolscope.operators.pools import attach_pools
 from poolscope.plans import market as P
+from poolscope.sources import state as st
 from workload import derive as d
 from workload.registry import query
 
@@ -55,6 +56,33 @@ def cl_agg(spark, sf):
     )
 
 
+_SPANS = {"bucket": 1, "day": 24, "all": None}
+
+
+@query(
+    "traders_span",
+    f"""WITH {d.SQL_SWAPS}, b AS (SELECT pool, block_number // 12000 AS bucket, trader FROM swaps),
+    newest AS (SELECT pool, max(bucket) AS top FROM b GROUP BY pool),
+    spans(span, n) AS (VALUES ('bucket', 1), ('day', 24), ('all', 1000000000))
+    SELECT pool, span, CAST(count(DISTINCT bucket) AS BIGINT) AS buckets, CAST(count(DISTINCT trader) AS BIGINT) AS exact, TRUE AS within
+    FROM b JOIN newest USING (pool), spans WHERE bucket > top - n GROUP BY pool, span""",
+)
+def traders_span(spark, sf):
+    """Traders of a pool over its newest bucket, its newest 24 and all, from the same stored sketches, beside the exact count."""
+    swaps = d.swaps(spark, sf).select("pool", "trader", F.floor(F.col("block_number") / 12_000).alias("bucket"))
+    base = st.shared_dir(spark, "sketches")
+    A.trader_sketches(swaps, ["pool", "bucket"], "trader").write.parquet(base)
+    sketches, out = spark.read.parquet(base), None
+    for span, n in _SPANS.items():
+        own, rows = (sketches, swaps) if n is None else (A.recent_buckets(sketches, n), A.recent_buckets(swaps, n))
+        exact = rows.groupBy("pool").agg(F.count_distinct("bucket").alias("buckets"), F.count_distinct("trader").alias("exact"))
+        part = A.merge_traders(own, ["pool"]).join(exact, "pool").withColumn("span", F.lit(span))
+        out = part if out is None else out.unionByName(part)
+    # three standard errors
+    close = F.abs(F.col("traders") - F.col("exact")) <= F.col("exact") * 0.05
+    return out.select("pool", "span", "buckets", "exact", close.alias("within"))
+
+
 # amounts of every seventh swap are 128 bits wider, as in `raw_logs`
 def times(x: str, factor: int) -> str:
     """x * factor as BIGNUM, which only adds exactly: doubling and adding along the factor's bits."""
