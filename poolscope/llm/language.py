@@ -40,7 +40,7 @@ WINDOW, CHAIN = 40, 4
 PASSES, CHAINS_PER_STEP, RATE, DECAY = 3, 128, 0.3, 1e-4
 LEXICON_SIZE, LEXICON_COUNT = 2_000, 5
 CLIP = 25.0
-MIN_SCORE = 0.4
+MIN_CERTAINTY = 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -160,16 +160,19 @@ class Tagger:
         found = WordFeatures(data, words.starts[at], words.ends[at])
         return forward_backward(self.scores(found, distinct)[back], words.first, self.moves)[0]
 
-    def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, col: pa.Array, certainty: bool = False) -> tuple[list[str], np.ndarray]:
+        """Each text's language with its mean probability over the words, or with the mean of each word's greatest one."""
         langs, scores = [], np.zeros(len(col))
         for i, j, raw, offs in text_slices(col):
             data = lowered(raw)
             words = find_words(data, offs, WORDS_ONLY)
             count = np.diff(words.first)
             if self.languages and len(words.hashes):
-                mean = per_document(self.word_probabilities(data, words), words.first) / np.maximum(count, 1)[:, None]
+                odds = self.word_probabilities(data, words)
+                mean = per_document(odds, words.first) / np.maximum(count, 1)[:, None]
                 best = mean.argmax(1)
-                lang, score = [self.languages[b] for b in best], np.clip(mean[np.arange(j - i), best], 0, 1)
+                sure = per_document(odds.max(1), words.first) / np.maximum(count, 1) if certainty else mean[np.arange(j - i), best]
+                lang, score = [self.languages[b] for b in best], np.clip(sure, 0, 1)
             else:
                 lang, score = [UNKNOWN] * (j - i), np.zeros(j - i)
             # bytes beyond ASCII need not be letters
@@ -285,12 +288,15 @@ def label_words(text: str, model: bytes) -> list[tuple[str, str]]:
     return [(bytes(raw[a:b]).decode(), tagger.languages[k]) for a, b, k in zip(words.starts, words.ends, best, strict=True)]
 
 
-def keep_known(docs: DataFrame, model: bytes, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of `docs` in a learned language with at least that score; others, `und` among them, go."""
+def keep_known(docs: DataFrame, model: bytes, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
+    """The rows of `docs` whose words are in learned languages, one or several in turn; others, `und` among them, go.
+
+    What counts is how sure the words' own labels are, not how much of a text one language holds.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def mask(col: pa.Array) -> pa.Array:
-        lang, score = pickle.loads(shared.value).predict(col)
-        return pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_())
+        lang, sure = pickle.loads(shared.value).predict(col, certainty=True)
+        return pa.array([x != UNKNOWN and s >= min_certainty for x, s in zip(lang, sure, strict=True)], pa.bool_())
 
     return learning.keep_where(docs, mask)

@@ -77,15 +77,18 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, added: bool =
     """doc_id, ids (bytes, `width` each), n_tokens, curve (Hilbert key), tie (a hash that spreads equal keys)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from poolscope.llm.tokens import WordEncoder, encoder
+        from poolscope.llm.tokens import WordEncoder, encoder, slices
 
         enc = encoder(WordEncoder, tokenizer, added)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                curve = hilbert_key(curve_points([np.frombuffer(x, enc.dtype) for x in ids]), CURVE_BITS)
+            done = 0
+            for some in slices(batch.column(1)):
+                part = batch.slice(done, len(some))
+                done += len(some)
+                ids = [x + end for x in enc.encode(some.to_pylist())]
+                points = [curve_points([np.frombuffer(x, enc.dtype) for x in ids[i : i + 512]]) for i in range(0, len(ids), 512)]
+                curve = hilbert_key(np.concatenate(points), CURVE_BITS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),

@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from poolscope.llm.tokens import ByteLevelEncoder, encoder
+        from poolscope.llm.tokens import ByteLevelEncoder, encoder, slices
 
         enc, task = encoder(ByteLevelEncoder, tokenizer, added), TaskContext.get()
         end = np.array([end_id], enc.dtype).tobytes()
@@ -66,8 +66,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
                 key, text = batch.column(0), batch.column(1)
                 nulls += key.null_count
                 names.write(key.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                for i in range(0, len(text), 256):
-                    parts = [x + end for x in enc.encode(text.slice(i, 256).to_pylist())]
+                for some in slices(text):
+                    parts = [x + end for x in enc.encode(some.to_pylist())]
                     ends = tokens + np.cumsum([len(x) // enc.dtype.itemsize for x in parts])
                     offsets.write(ends.astype("<i8").tobytes())
                     ids.write(b"".join(parts))

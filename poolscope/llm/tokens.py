@@ -11,18 +11,33 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_PIECES = 900_000
 CACHE_CHARS = 48
+SLICE_BYTES = 8 << 20  # texts whose pieces are made distinct together
+GATHER = 256
 _TWO_SPACES = re.compile(r"\s\s")
 # a full stop or comma next to another symbol may belong to a run of symbols, which is one piece
 _IN_SYMBOLS = re.compile(r"[^\s\w][.,]|[.,][^\s\w]|_[.,]|[.,]_")
 
 
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A text column in stretches of at most `most` bytes, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield column.slice(i, j - i)
+        i = j
+
+
 class PieceEncoder:
     """Encodes texts to the bytes of their ids: little-endian, two bytes if the vocabulary allows, else four."""
 
@@ -41,8 +56,12 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def pieces(self, text: str) -> list | None:
-        """Cache keys of the text's pieces in order; None if the text must be encoded as a whole."""
+    def fit(self, text: str) -> str | None:
+        """The text with a cut wherever `split` finds one; None if it must be encoded as a whole."""
+        raise NotImplementedError
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """Cache keys of the texts' pieces in order."""
         raise NotImplementedError
 
     def text_of(self, key) -> str:
@@ -50,12 +69,41 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text has none. Once full, the cache stays as it is."""
-        marked = [any(m in t for m in self.marks) if t else False for t in texts]
-        keys = [None if m else self.pieces(t) if t else [] for t, m in zip(texts, marked, strict=True)]
-        known = self.known
-        new = list(set().union(*(k for k in keys if k)) - known.keys())
+        out: list = [b""] * len(texts)
+        at, cut = [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            marked = any(m in t for m in self.marks)
+            ready = None if marked else self.fit(t)
+            if ready is None:
+                out[i] = self.ids_of([t], plain=not marked)[0]
+            else:
+                at.append(i)
+                cut.append(ready)
+        if cut:
+            for i, ids in zip(at, self._looked_up(self.split(pa.array(cut, pa.large_string()))), strict=True):
+                out[i] = ids
+        return out
+
+    def _looked_up(self, pieces: pa.ListArray) -> list[bytes]:
+        """Ids of each list of pieces: every different piece is looked up once, the rest is gathered by arrays."""
+        flat = pieces.flatten().dictionary_encode()
+        keys, codes, known = flat.dictionary.to_pylist(), flat.indices.to_numpy(), self.known
+        new = [k for k in keys if k not in known]
         known.update(zip(new, self.ids_of([self.text_of(k) for k in new]), strict=True))
-        out = [self.ids_of([t], plain=not m)[0] if k is None else b"".join([known[x] for x in k]) for t, k, m in zip(texts, keys, marked, strict=True)]
+        found = [known[k] for k in keys]
+        width = self.dtype.itemsize
+        size = np.fromiter(map(len, found), np.int64, len(found)) // width
+        ids, begin = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
+        bounds, out = pieces.offsets.to_numpy() - pieces.offsets[0].as_py(), []
+        for i in range(0, len(pieces), GATHER):
+            own = bounds[i : i + GATHER + 1]
+            part = codes[own[0] : own[-1]]
+            run = np.concatenate([[0], np.cumsum(size[part])])
+            gathered = ids[np.repeat(begin[part] - run[:-1], size[part]) + np.arange(run[-1])].tobytes()
+            ends = (run[own - own[0]] * width).tolist()
+            out += [gathered[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         room = CACHE_PIECES - len(known) + len(new)
         for i, k in enumerate(new):
             if i >= room or len(k) > CACHE_CHARS:
@@ -71,12 +119,13 @@ class ByteLevelEncoder(PieceEncoder):
     first piece, which has no space in front.
     """
 
-    def pieces(self, text: str) -> list[str] | None:
+    def fit(self, text: str) -> str | None:
         if text[0].isspace() or text[-1].isspace() or "\0" in text or _TWO_SPACES.search(text):
             return None
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = "\0" + keys[0]
-        return keys
+        return "\0" + text.replace("\n", " \n")
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(texts, " ")
 
     def text_of(self, key: str) -> str:
         if key[0] == "\0":
@@ -87,13 +136,16 @@ class ByteLevelEncoder(PieceEncoder):
 class WordEncoder(PieceEncoder):
     """BPE over lower-cased words, where white space separates and is dropped, and so do full stops and commas alone."""
 
-    def pieces(self, text: str) -> list[bytes]:
+    def fit(self, text: str) -> str:
         if not _IN_SYMBOLS.search(text):
             text = text.replace(",", " , ").replace(".", " . ")
-        return text.encode().lower().split()
+        return text
 
-    def text_of(self, key: bytes) -> str:
-        return key.decode()
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+    def text_of(self, key: str) -> str:
+        return key
 
 
 _ENCODERS: dict = {}
