@@ -1,8 +1,8 @@
 """A stream of logs whose offsets are block numbers.
 
 `readStream.format("block_logs")` over a table of `write_logs`. The offset is the next block to read, so a batch is
-a range of blocks, whatever files they lie in and whenever those were written. Of the blocks there are, a batch
-admits `blocks_per_batch`; it is cut into gap-free slices of `slice_blocks`, one task each, as in `block_slices`.
+a range of blocks, whatever files they lie in and whenever those were written. A batch ends at the next multiple of
+`blocks_per_batch`, so that windows of that many blocks stay whole; it is cut into gap-free slices of `slice_blocks`, one task each, as in `block_slices`.
 A restart goes on at the checkpoint's offset: no block comes twice and none is left out.
 
 A block is final once it lies `confirmations` behind the highest one in the table, as on a node; what is written
@@ -85,10 +85,10 @@ class BlockReader(DataSourceStreamReader):
             return json.loads(f.read())["block"]
 
     def latestOffset(self) -> dict:  # noqa: N802
-        """The end of the next batch: as many blocks as it admits, up to the last final one."""
+        """The end of the next batch: the next line of the grid of `blocks_per_batch`, or the last final block."""
         at = self._place()
         final = highest_block(self.path) - self.confirmations + 1
-        return {"block": max(at, min(final, at + self.per_batch))}
+        return {"block": max(at, min(final, (at // self.per_batch + 1) * self.per_batch))}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         # Spark has logged this end by now: after a restart it comes again or lies behind

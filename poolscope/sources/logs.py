@@ -24,15 +24,19 @@ RAW_LOG_SCHEMA = T.StructType(
 ORDER_BITS = 20  # log indexes inside one block stay far below 2^20
 
 
+def has_order(log_index: Column) -> Column:
+    """True for a log index that `chain_order` can hold."""
+    return F.coalesce(log_index.between(0, (1 << ORDER_BITS) - 1), F.lit(False))
+
+
 def chain_order(block: Column, log_index: Column) -> Column:
     """One BIGINT that sorts like (block, log index); fails loudly rather than wrap.
 
     A primitive order key keeps `max_by` inside hash aggregation; a struct key would force a
     sort of the raw rows.
     """
-    fits = log_index.between(0, (1 << ORDER_BITS) - 1)
     packed = F.shiftleft(block.cast("bigint"), ORDER_BITS) + log_index
-    return F.when(fits, packed).otherwise(
+    return F.when(has_order(log_index), packed).otherwise(
         F.raise_error(F.lit("log_index is missing or does not fit the order key")).cast("bigint")
     )
 

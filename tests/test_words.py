@@ -126,7 +126,18 @@ def test_malformed_logs_are_counted_in_the_same_pass(spark):
     logs = spark.createDataFrame([log([t, t, t], [1]), log([t], [1]), log([t, t], [1])], "address string, topics array<string>, data string, block_number string, log_index int")
     seen = Observation()
     assert D.usable_logs(logs, seen).count() == 1
-    assert seen.get == {"logs": 3, "malformed_logs": 2}
+    assert seen.get == {"logs": 3, "malformed_logs": 2, "unplaced_logs": 0}
+
+
+def test_logs_without_a_place_in_their_block_do_not_fail_the_others(spark):
+    from pyspark.sql import Observation
+
+    t = "0x" + "0" * 64
+    rows = [(*log([t, t, t], [1])[:-1], i) for i in (0, None, -1, 1 << 20, (1 << 20) - 1)]
+    logs = spark.createDataFrame(rows, "address string, topics array<string>, data string, block_number string, log_index int")
+    seen = Observation()
+    assert sorted(r.log_index for r in D.decode_v3_swaps(D.usable_logs(logs, seen)).collect()) == [0, (1 << 20) - 1]
+    assert seen.get == {"logs": 5, "malformed_logs": 3, "unplaced_logs": 3}
 
 
 def test_order_key_refuses_to_wrap(spark):

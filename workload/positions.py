@@ -246,7 +246,7 @@ def position_value_exact(spark, sf):
     r AS (SELECT o_orderkey AS token_id, o_orderkey % 1500 + 500 AS lo, o_orderkey % 1500 + 400 + o_custkey % 700 AS hi, sp,
        CASE WHEN o_orderkey % 8 = 0 THEN CAST(0 AS HUGEINT) ELSE CAST(round(o_totalprice) AS HUGEINT) * 1000000007000000011 + o_orderkey END AS liq
       FROM orders LEFT JOIN spot ON pool_id = o_custkey % 48),
-    c AS (SELECT *, least(greatest(sp, lo), hi) AS p FROM r WHERE lo < hi)
+    c AS (SELECT *, least(greatest(sp, lo), hi) AS p FROM r WHERE lo < hi AND sp IS NOT NULL)
     SELECT r.token_id, CAST(c.liq * (c.hi - c.p) * 256 // (c.p * c.hi) AS VARCHAR) AS amount0, CAST(c.liq * (c.p - c.lo) // 256 AS VARCHAR) AS amount1
     FROM r LEFT JOIN c USING (token_id)""",
 )
