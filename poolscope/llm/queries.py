@@ -69,8 +69,10 @@ def op7_shuffle_shards(spark, sf_dir):
 def op8_pack_curve(spark, sf_dir):
     """Where every piece of every document lies."""
     docs = table(spark, sf_dir, "documents")
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=False, added=True)
-    return pieces.drop("ids")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, added=True)
+    # length and checksum come from the ids that were packed
+    ids = F.col("ids")
+    return pieces.withColumns({"length": (F.octet_length(ids) / 4).cast("long"), "ids_crc32": F.crc32(ids)}).drop("ids")
 
 
 #: A conversation whose texts look like the template's own marks.
