@@ -41,21 +41,37 @@ def chain_order(block: Column, log_index: Column) -> Column:
     )
 
 
-def write_logs(logs: DataFrame, path: str, blocks_per_part: int, mode: str = "errorifexists") -> None:
+def interleaved(a: Column, b: Column) -> Column:
+    """The low 16 bits of two numbers, bit by bit in turn: close keys are close in both."""
+
+    def spread(x: Column) -> Column:
+        x = x.cast("bigint").bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return x
+
+    return F.shiftleft(spread(a), 1).bitwiseOR(spread(b))
+
+
+def write_logs(logs: DataFrame, path: str, blocks_per_part: int, mode: str = "errorifexists", clustered: bool = False) -> None:
     """Store raw logs partitioned by block range, with `topic0` and lower-case addresses for pushdown.
 
-    Rows are range-partitioned by block inside a part, so a busy part is written by many tasks.
+    Rows are range-partitioned by block inside a part, so a busy part is written by many tasks. `clustered` deals
+    them by block and address alike, so that a file holds a stretch of blocks of some of the pools, and adds Bloom
+    filters on the address: a rare pool then reads the few files that may hold it, a block range still its own.
     """
     part = F.floor(F.col("block_number") / blocks_per_part).cast("bigint")
     topic0 = F.try_element_at(F.col("topics"), F.lit(1))
     shaped = logs.withColumns({"topic0": topic0, "block_part": part, "address": norm_addr(F.col("address"))})
-    (
-        shaped.repartitionByRange("block_part", "block_number", "log_index")
-        .sortWithinPartitions("block_part", "topic0", "address", "block_number")
-        .write.mode(mode)
-        .partitionBy("block_part")
-        .parquet(path)
-    )
+    if clustered:
+        inside = F.floor((F.col("block_number") - F.col("block_part") * blocks_per_part) * 65536 / blocks_per_part)
+        shaped = shaped.withColumn("_cell", interleaved(inside, F.xxhash64("address")))
+        ordered = shaped.repartitionByRange("block_part", "_cell", "log_index").sortWithinPartitions("block_part", "topic0", "address", "block_number")
+        writer = ordered.drop("_cell").write.option("parquet.bloom.filter.enabled#address", "true").option("parquet.bloom.filter.expected.ndv#address", "100000")
+    else:
+        ordered = shaped.repartitionByRange("block_part", "block_number", "log_index")
+        writer = ordered.sortWithinPartitions("block_part", "topic0", "address", "block_number").write
+    writer.mode(mode).partitionBy("block_part").parquet(path)
 
 
 def select_logs(
