@@ -251,7 +251,7 @@ def prove(manifest: Manifest) -> DataFrame:
                 for n in nodes:
                     whole = siblings(levels, n["place"] - first) + path
                     found = [s[1:] for s in whole if s]
-                    folded = root if n["tampered"] is None else fold(n["tampered"], whole)
+                    folded = fold(n["tampered"] or n["digest"], whole)
                     out.append((n["doc_id"], n["digest"], subroot, root, digest(*found), folded, folded == root, len(found)))
             cols = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds, strict=True)], names=[n for n, _ in kinds])

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 from helpers import hard_docs
 from pyspark.sql import functions as F
@@ -90,3 +91,18 @@ def test_only_every_stride_is_stored(spark):
     docs = spark.range(300).selectExpr("id doc_id", "'a' source", "'en' lang", "id n_chars", "'x' text")
     manifest = merkle.build_manifest(docs, stride=4)
     assert [x.count() for x in manifest.languages.levels] == [300, 19, 2, 1]
+
+
+def test_true_leaves_are_folded_too(spark):
+    """A stored leaf or root that was changed after the tree was built fails the documents that lead over it, tampered or not."""
+    docs = spark.range(60).selectExpr("id doc_id", "'a' source", "if(id < 40, 'en', 'de') lang", "id n_chars", "'x' text")
+    manifest = merkle.build_manifest(docs, stride=3)
+    assert all(r.verified for r in merkle.prove(manifest).collect())
+    leaves = manifest.languages.levels[0]
+    wrong = leaves.withColumn("digest", F.when(F.col("doc_id") == 17, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    bad = merkle.prove(replace(manifest, languages=merkle.Tree([wrong, *manifest.languages.levels[1:]]))).collect()
+    assert {r.doc_id for r in bad if not r.verified} == set(range(16, 24))
+    top = manifest.above.levels[-1].withColumn("digest", F.lit("0" * 64))
+    bad = merkle.prove(replace(manifest, above=merkle.Tree([*manifest.above.levels[:-1], top]))).collect()
+    assert len(bad) == 60 and not any(r.verified for r in bad) and {r.root for r in bad} == {"0" * 64}
+    assert {r.folded_root for r in bad} == {r.root for r in manifest.above.roots.collect()}
