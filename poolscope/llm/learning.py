@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.llm.shared import give_back
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null for a null id."""
@@ -44,5 +46,6 @@ def keep_where(docs: DataFrame, mask: Callable[[pa.Array], pa.Array]) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(mask(batch.column(at)))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
