@@ -33,6 +33,19 @@ def test_big_dimension_is_salted_not_broadcast(spark):
     assert J.default_salt(facts) == 1  # an eighth of the eight partitions of tests
 
 
+def test_no_broadcast_of_a_dimension_larger_than_its_files(spark, tmp_path):
+    """Names in few distinct values pack to a fraction; copies for the salts aren't in Spark's estimate at all."""
+    spark.sql("SELECT id AS pool, concat('a name of some length ', id % 10) AS token FROM range(300000)").write.parquet(f"{tmp_path}/dim")
+    dim = spark.read.parquet(f"{tmp_path}/dim")
+    facts = spark.range(1000).selectExpr("id AS seq", "id * 300 AS pool")
+    for salt in (1, 8):
+        joined = J.join_dimension(facts.repartition(2), dim, ["pool"], salt=salt)
+        assert "SortMergeJoin" in plan(joined) and "BroadcastHashJoin" not in plan(joined).split("Initial Plan")[-1]
+        assert joined.count() == 1000
+        few = J.join_dimension(facts, spark.range(48).selectExpr("id AS pool", "'t' AS token"), ["pool"], salt=salt)
+        assert "BroadcastHashJoin" in plan(few)
+
+
 def test_salting_takes_any_column_type(spark):
     facts = spark.sql("SELECT id AS seq, CAST(id % 2 AS string) AS pool, map('a', id) AS extra FROM range(10)")
     dim = spark.sql("SELECT CAST(id AS string) AS pool, id AS v FROM range(2)")
