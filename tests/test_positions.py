@@ -115,3 +115,11 @@ def test_exact_amounts_run_in_batches(spark):
         held, a, b = max(size or 0, 0), int(a), int(b)
         p = min(max(int(word, 16), a), b)
         assert r.amount0 == (str(held * (b - p) * 2**96 // (p * b)) if p else None) and r.amount1 == str(held * (p - a) // 2**96)
+
+
+def test_amounts_exact_makes_no_limbs(spark):
+    """One Python step over the orders, and no lambda over arrays, which costs a hundred microseconds and more a row."""
+    from workload import positions as Q
+
+    text = Q.amounts_exact(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1 and "lambdafunction" not in text
